@@ -1 +1,8 @@
 """tidemark: a Spark-first analytics engine for posting, filing and text data."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
