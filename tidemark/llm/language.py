@@ -80,7 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def profiles(docs: DataFrame, *, profile_size: int = 300) -> dict[str, list[str]]:
+def profiles(docs: DataFrame, *, profile_size: int = 500) -> dict[str, list[str]]:
     """The ranked n-grams of each language found among the labels; at most 6 x profile_size strings."""
     labelled = docs.select(label_code(F.col("lang")).alias("code"), "text").filter("code is not null and text is not null")
     counts = labelled.mapInArrow(_count, "code string, gram string, n long").groupBy("code", "gram").agg(F.sum("n").alias("n"))
@@ -146,7 +146,7 @@ def _assign(known: dict[str, list[str]], profile_size: int, least_lead: float):
     return run
 
 
-def segment_languages(docs: DataFrame, *, known: dict[str, list[str]] | None = None, profile_size: int = 300, least_lead: float = 0.05) -> DataFrame:
+def segment_languages(docs: DataFrame, *, known: dict[str, list[str]] | None = None, profile_size: int = 500, least_lead: float = 0.02) -> DataFrame:
     """A row per paragraph: doc_id, segment_no (from 1), lang, confidence, doc_lang, doc_confidence, label (the code
     the given lang spells), mixed.
 
