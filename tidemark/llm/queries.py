@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, cooccurrence, language, mixing, topk
+from tidemark.llm import contamination, cooccurrence, language, locations, mixing, topk
 from tidemark.session import new_path
 from tidemark.sources.tables import table
 
@@ -115,3 +115,27 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     """Every paragraph of every document with its language and confidence."""
     return language.segment_languages(table(spark, d, "documents"))
+
+
+# --- 5: typed locations to the canonical list
+
+
+def _latest_locations(spark: SparkSession, d: str) -> DataFrame:
+    """One (location, location_state) per posting key, of its latest load."""
+    p = table(spark, d, "raw_postings").select("source", "job_id", "location", "location_state", "ingested_at")
+    one = p.groupBy("source", "job_id").agg(F.max(F.struct("ingested_at", "location", "location_state")).alias("m"))
+    return one.select("source", "job_id", "m.location", "m.location_state").filter(F.trim("location") != "")
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _latest_locations(spark, d)
+    found = locations.map_locations(rows, table(spark, d, "ref_locations")).select(F.col("location").alias("l"), "hint", "location_id")
+    return rows.join(found, (F.col("location") == F.col("l")) & F.col("location_state").eqNullSafe(F.col("hint"))).select("source", "job_id", "location_id")
+
+
+@query("p5_unmatched")
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Typed values that belong to no entry of the list, with the number of postings that use them."""
+    found = locations.map_locations(_latest_locations(spark, d), table(spark, d, "ref_locations"))
+    return found.filter("location_id = -1").select("location", F.col("hint").alias("location_state"), "city", "state", "uses")
