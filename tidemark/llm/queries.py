@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, cooccurrence, language, locations, mixing, topk
+from tidemark.llm import contamination, cooccurrence, language, locations, mixing, neardup, topk
 from tidemark.session import new_path
 from tidemark.sources.tables import table
 
@@ -139,3 +139,30 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """Typed values that belong to no entry of the list, with the number of postings that use them."""
     found = locations.map_locations(_latest_locations(spark, d), table(spark, d, "ref_locations"))
     return found.filter("location_id = -1").select("location", F.col("hint").alias("location_state"), "city", "state", "uses")
+
+
+# --- 6: near-duplicate postings
+
+ADVERT = neardup.Plan(width=3, threshold=0.6)
+
+
+def _adverts(spark: SparkSession, d: str):
+    p = table(spark, d, "raw_postings").filter(F.trim(F.regexp_replace("description_raw", r"\s+", " ")) != "")
+    text = F.concat_ws(" ", F.coalesce("job_title", F.lit("")), F.coalesce("company_name", F.lit("")), F.col("description_raw"))
+    rows = p.select(F.concat_ws(":", "source", "job_id").alias("posting"), text.alias("advert"), "ingested_at")
+    return neardup.near_duplicates(rows, key="posting", text="advert", version="ingested_at", plan=ADVERT)
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = neardup.class_pairs(*_adverts(spark, d))
+    return pairs.select(F.col("key_a").alias("posting_a"), F.col("key_b").alias("posting_b"))
+
+
+@query("p6_classes")
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """A row per posting: the class of equal adverts it belongs to and the number of other classes linked to it."""
+    members, links = _adverts(spark, d)
+    n = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    first = members.filter("representative").select("class_id", F.col("key").alias("class_name"))
+    return members.join(first, "class_id").join(n, "class_id", "left").select("key", "class_name", F.coalesce("links", F.lit(0)).alias("links"))
