@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, cooccurrence, language, locations, mixing, neardup, topk
+from tidemark.llm import contamination, cooccurrence, language, locations, mixing, neardup, topk, truncation
 from tidemark.session import new_path
 from tidemark.sources.tables import table
 
@@ -166,3 +166,25 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     n = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     first = members.filter("representative").select("class_id", F.col("key").alias("class_name"))
     return members.join(first, "class_id").join(n, "class_id", "left").select("key", "class_name", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+# --- 4: texts cut off
+
+
+def _cut_postings(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "raw_postings")
+    return truncation.cut_texts(p, keys=["source", "job_id"], text="description_raw", by="source")
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut_postings(spark, d).filter("cut").select("source", "job_id").distinct()
+
+
+@query("p4_report")
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: postings with text, those cut, their share, and the field limits found."""
+    per_key = _cut_postings(spark, d).groupBy("source", "job_id").agg(F.max("cut").alias("cut"), F.max(F.when(F.col("limit"), F.col("length"))).alias("at"))
+    return per_key.groupBy("source").agg(
+        F.count("*").alias("postings"), F.count(F.when(F.col("cut"), 1)).alias("cut"), F.avg(F.col("cut").cast("int")).alias("cut_share"), F.array_sort(F.collect_set("at")).alias("limits")
+    )
