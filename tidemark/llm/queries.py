@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, cooccurrence, language, locations, mixing, neardup, topk, truncation
+from tidemark.llm import contamination, cooccurrence, entities, language, locations, mixing, neardup, topk, truncation
 from tidemark.session import new_path
 from tidemark.sources.tables import table
 
@@ -188,3 +188,35 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return per_key.groupBy("source").agg(
         F.count("*").alias("postings"), F.count(F.when(F.col("cut"), 1)).alias("cut"), F.avg(F.col("cut").cast("int")).alias("cut_share"), F.array_sort(F.collect_set("at")).alias("limits")
     )
+
+
+# --- 7: employers behind the company names of postings
+
+
+def _employers(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "raw_postings").select("company_name", "job_title", "category", "salary_min", "salary_max").filter(F.trim("company_name") != "")
+    e = table(spark, d, "dol_employer_summary").select("employer_key", "employer_name", "tech_soc_titles", "median_wage").filter("employer_key is not null")
+    id_ = F.col("company_name").alias("id")
+    titles = p.select(id_, F.explode(F.split(F.lower("job_title"), r"[^\p{L}]+")).alias("word"))
+    categories = p.select(id_, F.concat(F.lit("category:"), F.col("category")).alias("word"))
+    left_words = titles.unionByName(categories).filter("word <> ''").distinct()
+    left_wage = p.select(id_, F.coalesce((F.col("salary_min") + F.col("salary_max")) / 2, "salary_min", "salary_max").alias("wage")).filter("wage between 20000 and 1000000")
+    key = F.col("employer_key").alias("id")
+    right = e.select(key, F.col("employer_name").alias("name")).unionByName(e.select(key, F.col("employer_key").alias("name")))
+    right_words = e.select(key, F.explode("tech_soc_titles").alias("word"))
+    right_wage = e.select(key, F.col("median_wage").alias("wage"))
+    earlier = table(spark, d, "company_employer_key").filter(F.col("match_type").isin("exact", "alias_seed"))
+    labels = earlier.select(F.col("company_name").alias("left_id"), F.col("employer_key").alias("right_id"))
+    left = p.select(id_, F.col("company_name").alias("name"))
+    return entities.match_entities(left, left_words, left_wage, right, right_words, right_wage, labels)
+
+
+@query("p7_matches")
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate pair with its probability of being one employer."""
+    return _employers(spark, d).select(F.col("left_id").alias("company_name"), F.col("right_id").alias("employer_key"), "confidence")
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_matches(spark, d).filter("confidence >= 0.5").select("company_name", "employer_key")
