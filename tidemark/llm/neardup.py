@@ -5,14 +5,15 @@ to 16 bits each; two signatures are as far apart as the number of symbols in whi
 (1 - J) of them for sets of Jaccard similarity J. The signature is split into chunks of `chunk` symbols. By the
 pigeonhole principle two signatures that differ in fewer than chunks * (errors + 1) symbols agree on some
 chunk up to `errors` symbols, so each chunk is indexed under every way of leaving `errors` of its symbols out:
-equal keys find every pair below that distance, and most pairs beyond it. Pairs are then held against the
-whole signatures, and the ones left against the exact sets.
+equal keys find every pair below that distance, and most pairs beyond it. Index rows carry a sketch, two bits of
+each symbol, so that pairs are held against the whole signature where they are found; the ones left are verified by
+their exact sets.
 
 Texts with one and the same set are one class; only one of them takes part in the join.
 
-Rows of the index are 16 bytes and are sorted by key; each task streams over runs of equal keys. A run of more
+Rows of the index are 32 bytes and are sorted by key; each task streams over runs of equal keys. A run of more
 than `longest_run` texts is not paired there: its texts are cut into blocks, and pairs of blocks are compared by
-signature in tasks of their own, which emit only pairs within reach. Nothing is dropped.
+sketch in tasks of their own, which emit only pairs within reach. Nothing is dropped.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ from tidemark.llm.words import WordHash, batch_words, mixed, window_hashes
 from tidemark.session import durable
 
 
+INDEX = "key long, id long, x0 long, x1 long"
+#: Bits of the table that tells tasks which texts are wanted.
+BITS = 23
+
+
 @dataclass(frozen=True)
 class Plan:
     width: int = 5
@@ -46,9 +52,10 @@ class Plan:
 
     @property
     def reach(self) -> int:
-        """Signature distance beyond which a found pair is not verified: the expected distance at the threshold plus five deviations."""
-        p = 1 - self.threshold
-        return min(self.symbols, int(np.ceil(self.symbols * p + 5 * np.sqrt(self.symbols * p * (1 - p)))))
+        """Sketch distance up to which a found pair is verified: what similarity `threshold` makes expect and three
+        deviations, and never less than `guaranteed`."""
+        p = 0.75 * (1 - self.threshold)
+        return min(self.symbols, max(self.guaranteed, int(np.ceil(self.symbols * p + 3 * np.sqrt(self.symbols * p * (1 - p))))))
 
     @property
     def masks(self) -> list[tuple[int, ...]]:
@@ -123,101 +130,106 @@ def _sig_matrix(column: pa.Array, symbols: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, symbols)
 
 
+def sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two lowest bits of each symbol: two words a text."""
+    place = np.arange(sig.shape[1], dtype=np.uint64)
+    return tuple((((sig >> np.uint16(i)) & np.uint16(1)).astype(np.uint64) << place).sum(1, dtype=np.uint64).view(np.int64) for i in (0, 1))
+
+
+def apart(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """Number of symbols whose two bits differ; never more than the signature distance."""
+    return np.bitwise_count((x0 ^ y0) | (x1 ^ y1))
+
+
 def _keys(plan: Plan):
-    """(id, sig) batches to a row (key, id) for each index key."""
+    """(id, sig) batches to a row (key, id, x0, x1) for each index key, the rows of a text side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(plan.masks)
         for big in batches:
             for lo in range(0, big.num_rows, 2000):
                 b = big.slice(lo, 2000)
-                sig = _sig_matrix(b.column(1), plan.symbols).astype(np.uint64)
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                keys = []
+                sig = _sig_matrix(b.column(1), plan.symbols)
+                keys = np.empty((len(sig), n), np.uint64)
+                wide = sig.astype(np.uint64)
                 for k, mask in enumerate(plan.masks):
                     x = np.full(len(sig), k + 1, np.uint64)
                     with np.errstate(over="ignore"):
                         for i in mask:
-                            x = mixed(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, i])
-                    keys.append(x.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(ids, len(keys)))], names=["key", "id"])
+                            x = x * np.uint64(0x9E3779B97F4A7C15) + wide[:, i]
+                    keys[:, k] = mixed(x)
+                same = [b.column(0).to_numpy(zero_copy_only=False), *sketches(sig)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *[pa.array(np.repeat(c, n)) for c in same]], names=["key", "id", "x0", "x1"])
 
     return run
 
 
 def _runs(plan: Plan):
-    """(key, id) sorted by key to pairs (a, b) of ids under one key; b null marks the key of a run that is too long."""
+    """(key, id, x0, x1) sorted by key to the pairs (a, b) of ids under one key whose sketches are within reach; a null b
+    marks the key of a run that is too long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail_k, tail_i = np.empty(0, np.int64), np.empty(0, np.int64)
+        tail = [np.empty(0, np.int64)] * 4
         skipping: int | None = None
 
-        def emit(k: np.ndarray, i: np.ndarray) -> pa.RecordBatch | None:
+        def emit(k: np.ndarray, i: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> pa.RecordBatch | None:
             edges = np.concatenate([[0], np.nonzero(k[1:] != k[:-1])[0] + 1, [len(k)]]) if len(k) else np.zeros(1, int)
             n = np.diff(edges)
             out = []
             for size in np.unique(n[(n > 1) & (n <= plan.longest_run)]):
-                m = np.sort(i[edges[:-1][n == size][:, None] + np.arange(size)], axis=1)
-                x, y = np.triu_indices(size, 1)
-                out.append(np.stack([m[:, x].ravel(), m[:, y].ravel()], axis=1))
+                p, q = np.triu_indices(size, 1)
+                starts = edges[:-1][n == size]
+                step = max(1, 2_000_000 // len(p))  # pairs looked at together
+                for lo in range(0, len(starts), step):
+                    at = starts[lo : lo + step, None]
+                    l, r = (at + p).ravel(), (at + q).ravel()
+                    near = apart(x0[l], x1[l], x0[r], x1[r]) <= plan.reach
+                    l, r = i[l[near]], i[r[near]]
+                    out.append(np.stack([np.minimum(l, r), np.maximum(l, r)], axis=1))
             long = k[edges[:-1][n > plan.longest_run]]
-            if not out and not len(long):
-                return None
             pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+            if not len(pairs) and not len(long):
+                return None
             a = pa.array(np.concatenate([pairs[:, 0], long]))
             b = pa.array(np.concatenate([pairs[:, 1], np.zeros(len(long), np.int64)]), mask=np.arange(len(pairs) + len(long)) >= len(pairs))
             return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
         for batch in batches:
-            k, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
             if skipping is not None:  # the rest of a run already marked as too long
-                past = np.searchsorted(k, skipping, side="right")
-                k, i = k[past:], i[past:]
-                if not len(k):
+                past = np.searchsorted(cols[0], skipping, side="right")
+                cols = [c[past:] for c in cols]
+                if not len(cols[0]):
                     continue
                 skipping = None
-            k, i = np.concatenate([tail_k, k]), np.concatenate([tail_i, i])
-            if not len(k):
+            cols = [np.concatenate([t, c]) for t, c in zip(tail, cols)]
+            if not len(cols[0]):
                 continue
-            cut = np.searchsorted(k, k[-1], side="left")
-            r = emit(k[:cut], i[:cut])
+            cut = np.searchsorted(cols[0], cols[0][-1], side="left")
+            r = emit(*[c[:cut] for c in cols])
             if r is not None:
                 yield r
-            tail_k, tail_i = k[cut:], i[cut:]
-            if len(tail_k) > plan.longest_run:
-                yield emit(tail_k, tail_i)
-                skipping = int(tail_k[0])
-                tail_k, tail_i = tail_k[:0], tail_i[:0]
-        r = emit(tail_k, tail_i)
+            tail = [c[cut:] for c in cols]
+            if len(tail[0]) > plan.longest_run:
+                yield emit(*tail)
+                skipping = int(tail[0][0])
+                tail = [c[:0] for c in tail]
+        r = emit(*tail)
         if r is not None:
             yield r
 
     return run
 
 
-def _near(plan: Plan):
-    """(a, b, sig_a, sig_b) to the pairs within reach."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                d = (_sig_matrix(b.column(2), plan.symbols) != _sig_matrix(b.column(3), plan.symbols)).sum(1)
-                keep = pa.array(np.nonzero(d <= plan.reach)[0])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
-
-    return run
-
-
 def _block_pairs(plan: Plan):
-    """All (side, id, sig) of one pair of blocks to the pairs of ids within reach."""
+    """All (side, id, x0, x1) of one pair of blocks to the pairs of ids within reach."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, side = t["id"].to_numpy(), t["side"].to_numpy()
-        sig = _sig_matrix(t["sig"].combine_chunks(), plan.symbols)
+        ids, side, x0, x1 = (t[c].to_numpy() for c in ("id", "side", "x0", "x1"))
         left, right = np.nonzero(side <= 1)[0], np.nonzero(side >= 1)[0]  # side 1: both, a block with itself
         a, b = [], []
         for i in left:
-            d = (sig[right] != sig[i]).sum(1)
-            hit = ids[right[d <= plan.reach]]
+            hit = ids[right[apart(x0[i], x1[i], x0[right], x1[right]) <= plan.reach]]
             hit = hit[hit > ids[i]] if side[i] == 1 else hit[hit != ids[i]]
             a.append(np.full(len(hit), ids[i])), b.append(hit)
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
@@ -246,17 +258,21 @@ def _exact(plan: Plan):
     return run
 
 
-def _sets(plan: Plan):
-    """(text, id) to (id, set_a, set_b, bytes of the sorted set)."""
+def _sets(plan: Plan, wanted: np.ndarray):
+    """(text, h, *kept) to (*kept, set_a, bytes of the sorted set) for the texts whose h the bit table lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHash()
         for big in batches:
-            for lo in range(0, big.num_rows, 2000):
-                b = big.slice(lo, 2000)
+            place = big.column(1).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BITS)
+            hit = np.nonzero((wanted[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))[0]
+            for lo in range(0, len(hit), 2000):
+                b = big.take(pa.array(hit[lo : lo + 2000]))
                 h, starts = shingle_sets(b.column(0).to_pylist(), plan.width, hasher)
-                sets = [h[x:y].tobytes() for x, y in zip(starts, starts[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sets, pa.binary())], names=["id", "elements"])
+                sets = [h[x:y] for x, y in zip(starts, starts[1:])]
+                with np.errstate(over="ignore"):
+                    set_a = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(set_a), pa.array([x.tobytes() for x in sets], pa.binary())], names=[*b.schema.names[2:], "set_a", "elements"])
 
     return run
 
@@ -281,20 +297,23 @@ def near_duplicates(rows: DataFrame, *, key: str, text: str, version: str | None
     reps = keyed.select("id", "sig").join(classes.select(F.col("class_id").alias("id")), "id", "left_semi")
     members = keyed.join(classes, ["set_a", "set_b"]).select("key", "class_id", (F.col("id") == F.col("class_id")).alias("representative"))
 
-    index = reps.mapInArrow(_keys(plan), "key long, id long").repartition("key").sortWithinPartitions("key")
+    index = reps.mapInArrow(_keys(plan), INDEX).repartition("key").sortWithinPartitions("key")
     found = durable(index.mapInArrow(_runs(plan), "a long, b long").distinct(), "found")
-    side = lambda n: reps.select(F.col("id").alias(n), F.col("sig").alias(f"sig_{n}"))
-    pairs = found.filter("b is not null").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_near(plan), "a long, b long")
-    long = found.filter("b is null").select(F.col("a").alias("key")).distinct()
+    pairs = found.filter("b is not null")
+    long = found.filter("b is null").select(F.col("a").alias("key"))
     if not long.isEmpty():
-        pairs = pairs.unionByName(_long_runs(reps, long, plan, blocks))
-    pairs = pairs.distinct()
-
-    # exact sets of the texts that are left
-    pairs = durable(pairs, "near")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(keyed, "id").select("id", F.col("key").alias("k"), F.col("version").alias("v"))
-    texts = src.join(wanted, (F.col("key") == F.col("k")) & F.col("version").eqNullSafe(F.col("v"))).groupBy("id").agg(F.max("text").alias("text"))
-    sets = texts.select("text", "id").mapInArrow(_sets(plan), "id long, elements binary")
+        pairs = durable(pairs.unionByName(_long_runs(reps, long, plan, blocks)).distinct(), "near")
+
+    # exact sets of the texts that are left; texts are read again rather than moved
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(keyed.select("id", F.col("key").alias("k"), F.col("version").alias("v"), F.col("set_a").alias("w")), "id")
+    wanted = durable(wanted.withColumn("h", F.xxhash64("k")), "wanted")
+    bits = wanted.select(F.shiftrightunsigned("h", 64 - BITS).alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
+    table = np.zeros(1 << (BITS - 6), np.uint64)
+    for r in bits.collect():  # at most 2 ** (BITS - 6) rows
+        table[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
+    sets = src.select("text", F.xxhash64("key").alias("h"), "key", "version").mapInArrow(_sets(plan, table), f"key string, version {vt}, set_a long, elements binary")
+    same = (F.col("key") == F.col("k")) & F.col("version").eqNullSafe(F.col("v")) & (F.col("set_a") == F.col("w"))
+    sets = sets.join(wanted, same).groupBy("id").agg(F.first("elements").alias("elements"))  # rows of one id have one set
     ea, eb = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
     links = pairs.join(ea, "a").join(eb, "b").select("a", "b", "ea", "eb").mapInArrow(_exact(plan), "a long, b long, similarity double")
     return members, links
@@ -302,14 +321,13 @@ def near_duplicates(rows: DataFrame, *, key: str, text: str, version: str | None
 
 def _long_runs(reps: DataFrame, long: DataFrame, plan: Plan, blocks: int) -> DataFrame:
     """Pairs within reach among the texts of each long run, in blocks of about `blocks` texts."""
-    rows = reps.mapInArrow(_keys(plan), "key long, id long").join(long, "key").distinct()
+    rows = reps.mapInArrow(_keys(plan), INDEX).join(long, "key").distinct()
     n = rows.groupBy("key").agg(F.ceil(F.count("*") / blocks).cast("int").alias("n"))
     rows = rows.join(n, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    spread = rows.select("key", "id", "block", others).select(
-        "key", "id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2).alias("side")
+    spread = rows.select("key", "id", "x0", "x1", "block", others).select(
+        "key", "id", "x0", "x1", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2).alias("side")
     )
-    spread = spread.join(reps, "id").select("key", "x", "y", "id", "side", "sig")
     return spread.groupBy("key", "x", "y").applyInArrow(_block_pairs(plan), "a long, b long")
 
 
