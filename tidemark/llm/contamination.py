@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import WordHash, batch_words, plain_words, window_hashes
+from tidemark.llm.words import WordHash, batch_ids, plain_words, window_hashes
 
 #: 16 bytes a seed: at most 32 MB in a task.
 BROADCAST_SEEDS = 2_000_000
@@ -75,10 +75,9 @@ def _seed_rows(seed: int):
     """(id, text) batches to the distinct (id, seed hash) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
         for b in batches:
-            words, offsets = batch_words(b.column(1).to_pylist())
-            h, at = window_hashes(hasher(words), offsets, seed)
+            ids, offsets = batch_ids(b.column(1).to_pylist())
+            h, at = window_hashes(ids, offsets, seed)
             owner = np.searchsorted(offsets, at, side="right") - 1
             ids = b.column(0).to_numpy(zero_copy_only=False)[owner]
             pairs = np.unique(np.stack([ids.astype(np.int64), h.view(np.int64)], axis=1), axis=0) if len(h) else np.empty((0, 2), np.int64)
@@ -91,10 +90,9 @@ def _probe(seed: int, hashes: np.ndarray, items: np.ndarray):
     """(id, text) batches to distinct (id, item) that share a seed; hashes is sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
         for b in batches:
-            words, offsets = batch_words(b.column(1).to_pylist())
-            h, at = window_hashes(hasher(words), offsets, seed)
+            ids, offsets = batch_ids(b.column(1).to_pylist())
+            h, at = window_hashes(ids, offsets, seed)
             lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             n = hi - lo
             hit = np.nonzero(n)[0]

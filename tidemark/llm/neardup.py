@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import WordHash, batch_words, mixed, window_hashes
+from tidemark.llm.words import batch_ids, mixed, window_hashes
 from tidemark.session import durable
 
 
@@ -80,11 +80,10 @@ def signatures(h: np.ndarray, starts: np.ndarray, symbols: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(texts: list[str | None], width: int, hasher: WordHash) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of each text's runs of `width` words, and where each text begins; a text of 1 to width - 1
     words is its one shorter run; a text without words has none."""
-    words, offsets = batch_words(texts)
-    ids = hasher(words)
+    ids, offsets = batch_ids(texts)
     h, at = window_hashes(ids, offsets, width)
     owner = np.searchsorted(offsets, at, side="right") - 1
     sizes = np.diff(offsets)
@@ -104,11 +103,10 @@ def _sign(plan: Plan, n_keep: int):
     """(text, *kept) batches to (*kept, set_a, set_b, n_shingles, sig); texts without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
         for big in batches:
             for lo in range(0, big.num_rows, 2000):
                 b = big.slice(lo, 2000)
-                h, starts = shingle_sets(b.column(0).to_pylist(), plan.width, hasher)
+                h, starts = shingle_sets(b.column(0).to_pylist(), plan.width)
                 n = np.diff(starts)
                 keep = np.nonzero(n)[0]
                 names = [*b.schema.names[1:], "set_a", "set_b", "n_shingles", "sig"]
@@ -262,13 +260,12 @@ def _sets(plan: Plan, wanted: np.ndarray):
     """(text, h, *kept) to (*kept, set_a, bytes of the sorted set) for the texts whose h the bit table lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
         for big in batches:
             place = big.column(1).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BITS)
             hit = np.nonzero((wanted[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))[0]
             for lo in range(0, len(hit), 2000):
                 b = big.take(pa.array(hit[lo : lo + 2000]))
-                h, starts = shingle_sets(b.column(0).to_pylist(), plan.width, hasher)
+                h, starts = shingle_sets(b.column(0).to_pylist(), plan.width)
                 sets = [h[x:y] for x, y in zip(starts, starts[1:])]
                 with np.errstate(over="ignore"):
                     set_a = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)

@@ -71,3 +71,43 @@ def window_hashes(ids: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
         inside[max(0, cut - k + 1) : cut] = False
     at = np.nonzero(inside)[0]
     return mixed(h[at]), at
+
+
+_tables: dict[str, np.ndarray] = {}
+
+
+def _char_tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it is a letter or digit, and a 64-bit value; made once in a process."""
+    if not _tables:
+        _tables["alnum"] = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+        with np.errstate(over="ignore"):
+            _tables["value"] = mixed(np.arange(1, 0x110001, dtype=np.uint64) * MIX)
+    return _tables["alnum"], _tables["value"]
+
+
+def batch_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit ids of the plain words of a batch, and the offsets at which each text begins: as batch_words, without
+    making a string of each word. A word's id is a polynomial in its characters, modulo 2**64, mixed."""
+    if not texts:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    clean = [t.lower().replace(SEP, " ") if t else "" for t in texts]
+    clean = [MARKUP.sub(" ", t) if "<" in t or "&" in t else t for t in clean]
+    codes = np.frombuffer(SEP.join(clean).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alnum, value = _char_tables()
+    inside = alnum[codes]
+    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    start, stop = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    seps = np.nonzero(codes == ord(SEP))[0]
+    offsets = np.concatenate([[0], np.searchsorted(start, seps), [len(start)]]).astype(np.int64)
+    if not len(start):
+        return np.empty(0, np.uint64), offsets
+    chars = np.nonzero(inside)[0]
+    n = stop - start
+    first = np.cumsum(n) - n
+    with np.errstate(over="ignore"):
+        power = np.ones(int(n.max()), np.uint64)
+        if len(power) > 1:
+            power[1:] = np.multiply.accumulate(np.full(len(power) - 1, np.uint64(0x9E3779B97F4A7C15)))
+        place = np.arange(len(chars)) - np.repeat(first, n)
+        ids = mixed(np.add.reduceat(value[codes[chars]] * power[place], first))
+    return ids, offsets
