@@ -43,7 +43,7 @@ class Plan:
     symbols: int = 60
     chunk: int = 5
     errors: int = 1
-    longest_run: int = 1000
+    longest_run: int = 20_000
 
     @property
     def guaranteed(self) -> int:
@@ -175,8 +175,16 @@ def _runs(plan: Plan):
             n = np.diff(edges)
             out = []
             for size in np.unique(n[(n > 1) & (n <= plan.longest_run)]):
-                p, q = np.triu_indices(size, 1)
                 starts = edges[:-1][n == size]
+                if size > 1000:  # strip by strip
+                    for s in starts:
+                        for lo in range(s, s + size, 100):
+                            l, r = np.arange(lo, min(lo + 100, s + size))[:, None], np.arange(lo, s + size)
+                            l, r = np.nonzero((apart(x0[l], x1[l], x0[r], x1[r]) <= plan.reach) & (l < r))
+                            l, r = i[lo + l], i[lo + r]
+                            out.append(np.stack([np.minimum(l, r), np.maximum(l, r)], axis=1))
+                    continue
+                p, q = np.triu_indices(size, 1)
                 step = max(1, 2_000_000 // len(p))  # pairs looked at together
                 for lo in range(0, len(starts), step):
                     at = starts[lo : lo + step, None]
@@ -274,7 +282,7 @@ def _sets(plan: Plan, wanted: np.ndarray):
     return run
 
 
-def near_duplicates(rows: DataFrame, *, key: str, text: str, version: str | None = None, plan: Plan = Plan(), blocks: int = 2000) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(rows: DataFrame, *, key: str, text: str, version: str | None = None, plan: Plan = Plan(), blocks: int = 5000) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: key, class_id, representative (bool), a row per distinct non-null key whose text has
     words. links: a, b, similarity for each two classes whose sets reach plan.threshold, a < b.
 
