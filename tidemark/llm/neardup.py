@@ -5,13 +5,13 @@ to 16 bits each; two signatures are as far apart as the number of symbols in whi
 (1 - J) of them for sets of Jaccard similarity J. The signature is split into chunks of `chunk` symbols. By the
 pigeonhole principle two signatures that differ in fewer than chunks * (errors + 1) symbols agree on some
 chunk up to `errors` symbols, so each chunk is indexed under every way of leaving `errors` of its symbols out:
-equal keys find every pair below that distance, and most pairs beyond it. Index rows carry a sketch, two bits of
+equal keys find every pair below that distance, and most pairs beyond it. Index rows carry a sketch, three bits of
 each symbol, so that pairs are held against the whole signature where they are found; the ones left are verified by
 their exact sets.
 
 Texts with one and the same set are one class; only one of them takes part in the join.
 
-Rows of the index are 32 bytes and are sorted by key; each task streams over runs of equal keys. A run of more
+Rows of the index are 40 bytes and are sorted by key; each task streams over runs of equal keys. A run of more
 than `longest_run` texts is not paired there: its texts are cut into blocks, and pairs of blocks are compared by
 sketch in tasks of their own, which emit only pairs within reach. Nothing is dropped.
 """
@@ -31,7 +31,7 @@ from tidemark.llm.words import batch_ids, mixed, window_hashes
 from tidemark.session import durable
 
 
-INDEX = "key long, id long, x0 long, x1 long"
+INDEX = "key long, id long, x0 long, x1 long, x2 long"
 #: Bits of the table that tells tasks which texts are wanted.
 BITS = 23
 
@@ -54,7 +54,7 @@ class Plan:
     def reach(self) -> int:
         """Sketch distance up to which a found pair is verified: what similarity `threshold` makes expect and three
         deviations, and never less than `guaranteed`."""
-        p = 0.75 * (1 - self.threshold)
+        p = 0.875 * (1 - self.threshold)
         return min(self.symbols, max(self.guaranteed, int(np.ceil(self.symbols * p + 3 * np.sqrt(self.symbols * p * (1 - p))))))
 
     @property
@@ -128,19 +128,19 @@ def _sig_matrix(column: pa.Array, symbols: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, symbols)
 
 
-def sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two lowest bits of each symbol: two words a text."""
+def sketches(sig: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The three lowest bits of each symbol: three words a text."""
     place = np.arange(sig.shape[1], dtype=np.uint64)
-    return tuple((((sig >> np.uint16(i)) & np.uint16(1)).astype(np.uint64) << place).sum(1, dtype=np.uint64).view(np.int64) for i in (0, 1))
+    return tuple((((sig >> np.uint16(i)) & np.uint16(1)).astype(np.uint64) << place).sum(1, dtype=np.uint64).view(np.int64) for i in range(3))
 
 
-def apart(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
-    """Number of symbols whose two bits differ; never more than the signature distance."""
-    return np.bitwise_count((x0 ^ y0) | (x1 ^ y1))
+def apart(x: list[np.ndarray], l: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Number of symbols whose three bits differ between rows l and r; never more than the signature distance."""
+    return np.bitwise_count((x[0][l] ^ x[0][r]) | (x[1][l] ^ x[1][r]) | (x[2][l] ^ x[2][r]))
 
 
 def _keys(plan: Plan):
-    """(id, sig) batches to a row (key, id, x0, x1) for each index key, the rows of a text side by side."""
+    """(id, sig) batches to a row (key, id, x0, x1, x2) for each index key, the rows of a text side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(plan.masks)
@@ -157,20 +157,20 @@ def _keys(plan: Plan):
                             x = x * np.uint64(0x9E3779B97F4A7C15) + wide[:, i]
                     keys[:, k] = mixed(x)
                 same = [b.column(0).to_numpy(zero_copy_only=False), *sketches(sig)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *[pa.array(np.repeat(c, n)) for c in same]], names=["key", "id", "x0", "x1"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *[pa.array(np.repeat(c, n)) for c in same]], names=["key", "id", "x0", "x1", "x2"])
 
     return run
 
 
 def _runs(plan: Plan):
-    """(key, id, x0, x1) sorted by key to the pairs (a, b) of ids under one key whose sketches are within reach; a null b
+    """(key, id, x0, x1, x2) sorted by key to the pairs (a, b) of ids under one key whose sketches are within reach; a null b
     marks the key of a run that is too long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.empty(0, np.int64)] * 4
+        tail = [np.empty(0, np.int64)] * 5
         skipping: int | None = None
 
-        def emit(k: np.ndarray, i: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> pa.RecordBatch | None:
+        def emit(k: np.ndarray, i: np.ndarray, *x: np.ndarray) -> pa.RecordBatch | None:
             edges = np.concatenate([[0], np.nonzero(k[1:] != k[:-1])[0] + 1, [len(k)]]) if len(k) else np.zeros(1, int)
             n = np.diff(edges)
             out = []
@@ -180,7 +180,7 @@ def _runs(plan: Plan):
                     for s in starts:
                         for lo in range(s, s + size, 100):
                             l, r = np.arange(lo, min(lo + 100, s + size))[:, None], np.arange(lo, s + size)
-                            l, r = np.nonzero((apart(x0[l], x1[l], x0[r], x1[r]) <= plan.reach) & (l < r))
+                            l, r = np.nonzero((apart(x, l, r) <= plan.reach) & (l < r))
                             l, r = i[lo + l], i[lo + r]
                             out.append(np.stack([np.minimum(l, r), np.maximum(l, r)], axis=1))
                     continue
@@ -189,7 +189,7 @@ def _runs(plan: Plan):
                 for lo in range(0, len(starts), step):
                     at = starts[lo : lo + step, None]
                     l, r = (at + p).ravel(), (at + q).ravel()
-                    near = apart(x0[l], x1[l], x0[r], x1[r]) <= plan.reach
+                    near = apart(x, l, r) <= plan.reach
                     l, r = i[l[near]], i[r[near]]
                     out.append(np.stack([np.minimum(l, r), np.maximum(l, r)], axis=1))
             long = k[edges[:-1][n > plan.longest_run]]
@@ -201,7 +201,7 @@ def _runs(plan: Plan):
             return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
             if skipping is not None:  # the rest of a run already marked as too long
                 past = np.searchsorted(cols[0], skipping, side="right")
                 cols = [c[past:] for c in cols]
@@ -228,14 +228,14 @@ def _runs(plan: Plan):
 
 
 def _block_pairs(plan: Plan):
-    """All (side, id, x0, x1) of one pair of blocks to the pairs of ids within reach."""
+    """All (side, id, x0, x1, x2) of one pair of blocks to the pairs of ids within reach."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, side, x0, x1 = (t[c].to_numpy() for c in ("id", "side", "x0", "x1"))
+        ids, side, *x = (t[c].to_numpy() for c in ("id", "side", "x0", "x1", "x2"))
         left, right = np.nonzero(side <= 1)[0], np.nonzero(side >= 1)[0]  # side 1: both, a block with itself
         a, b = [], []
         for i in left:
-            hit = ids[right[apart(x0[i], x1[i], x0[right], x1[right]) <= plan.reach]]
+            hit = ids[right[apart(x, i, right) <= plan.reach]]
             hit = hit[hit > ids[i]] if side[i] == 1 else hit[hit != ids[i]]
             a.append(np.full(len(hit), ids[i])), b.append(hit)
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
@@ -330,8 +330,8 @@ def _long_runs(reps: DataFrame, long: DataFrame, plan: Plan, blocks: int) -> Dat
     n = rows.groupBy("key").agg(F.ceil(F.count("*") / blocks).cast("int").alias("n"))
     rows = rows.join(n, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    spread = rows.select("key", "id", "x0", "x1", "block", others).select(
-        "key", "id", "x0", "x1", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2).alias("side")
+    spread = rows.select("key", "id", "x0", "x1", "x2", "block", others).select(
+        "key", "id", "x0", "x1", "x2", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2).alias("side")
     )
     return spread.groupBy("key", "x", "y").applyInArrow(_block_pairs(plan), "a long, b long")
 
