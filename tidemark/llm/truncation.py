@@ -36,7 +36,6 @@ INNER = re.compile(r"(?<=\w)[.!?](?=\w)")
 DIGIT = re.compile(r"\d")
 # What feeds put where they shortened a text.
 MARK = re.compile(r"(?:…|\.\.\.+|\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|[\[(](?:text |content )?(?:shortened|truncated|cut|continued|more|read more)[\])]|(?:read|see|show|view) more)\s*[.>»→]*\s*\Z", re.I)
-OPEN_TAG = re.compile(r"<[^<>]*\Z")
 OPEN_ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]*)?\Z")
 TAGS = re.compile(r"<\s*(/?)\s*([A-Za-z][A-Za-z0-9]*)[^<>]*?(/?)>")
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr"}
@@ -50,10 +49,16 @@ OPEN, MARKED, DANGLING, WORDS, COMPLETE = "open markup", "marked", "dangling", "
 def body(text: str) -> tuple[str, bool]:
     """Text without trailing blanks and without a mark of shortening, and whether there was one."""
     t = text.rstrip()
-    m = MARK.search(t)
+    end = max(0, len(t) - 60)  # no mark is longer
+    m = MARK.search(t, end)
     return (t[: m.start()].rstrip(), True) if m else (t, False)
 
 
+def last_unit(text: str) -> str:
+    """The end of a text from a boundary on, its last unit at least."""
+    return text[max(0, *(text.rfind(b) for b in ("\n", ". ", "! ", "? ", "; "))) :]
+
+
 def unbalanced(text: str) -> bool:
     """Whether an element is left open at the end."""
     stack: list[str] = []
@@ -72,7 +77,7 @@ def unbalanced(text: str) -> bool:
 def ending(text: str) -> str:
     """The kind of ending; WORDS is left to the counts."""
     t, marked = body(text)
-    if OPEN_TAG.search(t) or OPEN_ENTITY.search(t) or t.endswith("�") or ("<" in t and unbalanced(t)):
+    if t.rfind("<") > t.rfind(">") or OPEN_ENTITY.search(t, max(0, t.rfind("&"))) or t.endswith("�") or ("<" in t and unbalanced(t)):
         return OPEN
     if marked:
         return MARKED
@@ -140,7 +145,7 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column(0).to_pylist()
         kinds = [ending(t) for t in texts]
-        keys, state, owner = contexts([body(t)[0] for t in texts])
+        keys, state, owner = contexts([last_unit(body(t)[0]) for t in texts])
         last = np.nonzero(state == 2)[0]
         k = np.zeros((3, len(texts)), np.int64)
         k[:, owner[last]] = keys[:, last].view(np.int64)
