@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.registry import ORACLE, QUERIES
 
-MODULES = ["snapshots"]
+MODULES = ["snapshots", "market", "postings", "state", "checks", "streams"]
 
 
 def load_queries() -> dict:
