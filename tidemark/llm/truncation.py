@@ -154,7 +154,7 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(wanted: np.ndarray):
-    """Texts to (key, ends, final, goes_on) for keys that the bit table lets through, summed up batch by batch."""
+    """Texts to (key, ends, goes_on) for keys that the bit table lets through, summed up batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = Contexts()
@@ -164,8 +164,8 @@ def _counts(wanted: np.ndarray):
             place = flat >> np.uint64(64 - BITS)
             hit = (wanted[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
             u, inverse = np.unique(flat[hit], return_inverse=True)
-            n = [np.bincount(inverse[s[hit] == v], minlength=len(u)) for v in (1, 2, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *[pa.array(x.astype(np.int64)) for x in n]], names=["key", "ends", "final", "goes_on"])
+            n = [np.bincount(inverse[s[hit] == v], minlength=len(u)) for v in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *[pa.array(x.astype(np.int64)) for x in n]], names=["key", "ends", "goes_on"])
 
     return run
 
@@ -203,8 +203,8 @@ def length_hazards(lengths: DataFrame, *, by: str, around: int = 40, apart: int
 def cut_texts(rows: DataFrame, *, keys: Sequence[str], text: str, by: str, at_limit: float = 0.9, elsewhere: float = 0.5, seen: int = 3, closing: float = 0.0005) -> DataFrame:
     """A row per non-blank text: keys, length, kind, share (of like endings that end a unit; null if decided by kind), limit, cut.
 
-    closing: words that end at least this share of all texts (and at least 5) count as an ending even if no unit
-    inside a text ends so; a mark after a line that ten times as many share is no sign of a cut. Defined cases: null and blank texts give no row; repeated rows give a row each; texts
+    closing: words that end at least this share of all texts (and more than 5) count as an ending even if no unit
+    inside a text ends so, texts at a field limit aside; a mark after a line that ten times as many share is no sign of a cut. Defined cases: null and blank texts give no row; repeated rows give a row each; texts
     of one word are judged like others; an empty table gives no rows; null keys are kept; columns not named are not
     read.
     """
@@ -222,25 +222,28 @@ def cut_texts(rows: DataFrame, *, keys: Sequence[str], text: str, by: str, at_li
     wanted = np.zeros(1 << (BITS - 6), np.uint64)
     for r in bits.collect():  # at most 2 ** (BITS - 6) rows
         wanted[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
-    counts = src.select("text").mapInArrow(_counts(wanted), "key long, ends long, final long, goes_on long")
-    counts = counts.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("final").alias("final"), F.sum("goes_on").alias("goes_on"))
-    counts = durable(counts.filter("ends + final + goes_on > 1"), "ending-counts")
+    counts = src.select("text").mapInArrow(_counts(wanted), "key long, ends long, goes_on long")
+    counts = counts.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")).filter("ends + goes_on > 0")
 
-    # the distinct endings, with the counts of their three keys
-    total = tails.count()
+    limits = length_hazards(tails, by="by").filter("limit").select(F.col("by").alias("l_by"), F.col("length").alias("l_length"))
+    t = tails.join(limits, F.col("by").eqNullSafe(F.col("l_by")) & (F.col("length") == F.col("l_length")), "left")
+    t = durable(t.withColumn("limit", F.col("l_length").isNotNull()).drop("l_by", "l_length"), "limits")
+    total = t.count()
     floor = F.greatest(F.lit(5), F.lit(closing * total))
-    finals = F.when(F.col("final") > floor, F.col("final")).otherwise(F.lit(0))  # the text itself is one of them
+    # words that end many whole texts; what stands at a field limit may have been cut there, again and again
+    finals = t.filter((F.col("kind") == WORDS) & ~F.col("limit")).select(F.explode(F.array("k3", "k2", "j3")).alias("key")).groupBy("key").agg(F.count("*").alias("final")).filter(F.col("final") > floor)
+    stats = counts.join(finals, "key", "full")
+    end = F.coalesce("ends", F.lit(0)) + F.coalesce("final", F.lit(0))
+    stats = durable(stats.select("key", end.alias("end"), (end + F.coalesce("goes_on", F.lit(0))).alias("all")), "ending-counts")
+
+    # the distinct endings, with the counts of their three keys
     endings = open_.select("k3", "k2", "j3").distinct()
     for k in ("k3", "k2", "j3"):
-        end = (F.col("ends") + finals).alias("end")
-        one = counts.select(F.col("key").alias(k), F.struct(end, (end + F.col("goes_on")).alias("all")).alias(f"c_{k}"))
-        endings = endings.join(one, k, "left")
+        endings = endings.join(stats.select(F.col("key").alias(k), F.struct("end", "all").alias(f"c_{k}")), k, "left")
     share = F.coalesce(*[F.when(F.col(f"c_{k}.all") >= seen, F.col(f"c_{k}.end") / F.col(f"c_{k}.all")) for k in ("k3", "k2", "j3")], F.lit(0.0))
     endings = endings.select("k3", "k2", "j3", share.alias("share"))
 
-    limits = length_hazards(tails, by="by").filter("limit").select(F.col("by").alias("l_by"), F.col("length").alias("l_length"))
-    t = tails.join(F.broadcast(limits), F.col("by").eqNullSafe(F.col("l_by")) & (F.col("length") == F.col("l_length")), "left")  # at most sources x lengths rows
-    t = t.join(endings, ["k3", "k2", "j3"], "left").withColumn("limit", F.col("l_length").isNotNull())
+    t = t.join(endings, ["k3", "k2", "j3"], "left")
     # a mark after one and the same line in many texts belongs to that line
     lines = tails.filter(F.col("kind") == MARKED).groupBy("k3").agg(F.count("*").alias("same")).filter(F.col("same") >= F.greatest(F.lit(5), F.lit(10 * closing * total)))
     t = t.join(lines.withColumnRenamed("k3", "l3"), (F.col("kind") == MARKED) & (F.col("k3") == F.col("l3")), "left")
