@@ -4,13 +4,12 @@ A language's profile is its `profile_size` most frequent character n-grams (1 to
 blanks) in rank order, counted over every document whose label names that language; wrong labels are a small
 share and do not reach the top of a profile. A text's own most frequent n-grams are ranked the same way and the
 out-of-place distance to a profile is the sum of the rank differences, profile_size for an n-gram the profile
-lacks. The nearest profile wins; confidence is its lead over the next one as a share of that one's distance.
+lacks; n-grams that no profile has would add the same to every distance and are left out. The nearest profile wins; confidence is its lead over the next one as a share of that one's distance.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +30,12 @@ SPELLINGS = {
 }
 
 LONGEST = 4
-#: Distinct (language, n-gram) counters a task holds before it passes them on.
-HELD = 1_000_000
+#: Letters that have a place of their own in n-grams, after the blank; all others share the last of 64 places.
+ALPHABET = " abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß"
+SEP = "\x01"
+#: Paragraphs looked at together.
+TOGETHER = 400
 
-_LETTERS = re.compile(r"[^\W\d_]+")
 _MARKUP = re.compile(r"<[^<>]*>|&[A-Za-z][A-Za-z0-9]*;|&#[0-9]+;")
 _BLANK_LINES = re.compile(r"\n(?:[^\S\n]*\n)+")
 
@@ -52,108 +53,179 @@ def paragraphs(text: str) -> list[str]:
     return [p for p in _BLANK_LINES.split("\n" + text + "\n") if p.strip()]
 
 
-def grams(text: str) -> Counter:
-    """Counts of the padded n-grams of a text's words; markup and anything but letters are left out."""
-    s = " " + " ".join(_LETTERS.findall(_MARKUP.sub(" ", text.lower()))) + " "
-    c: Counter = Counter()
-    if len(s) > 2:
-        for n in range(1, LONGEST + 1):
-            c.update(map("".join, zip(*(s[i:] for i in range(n)))))
-        c.pop(" ", None)
-    return c
+_table: list[np.ndarray] = []
+
+
+def letters(texts: list[str]) -> np.ndarray:
+    """Places of the letters of all texts in lower case, 64 between texts; each text is padded with blanks, and
+    whatever is not a letter is a blank, several blanks being one. Markup is left out."""
+    if not _table:
+        t = np.zeros(0x110000, np.uint8)
+        t[[i for i in range(0x110000) if chr(i).isalpha()]] = 63
+        for place, c in enumerate(ALPHABET):
+            t[ord(c)] = place
+        t[ord(SEP)] = 64
+        _table.append(t)
+    clean = [t.lower().replace(SEP, " ") for t in texts]
+    clean = [_MARKUP.sub(" ", t) if "<" in t or "&" in t else t for t in clean]
+    c = _table[0][np.frombuffer(f" {f' {SEP} '.join(clean)} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
+    return c[keep]
+
+
+def gram_codes(c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (n and n places of 6 bits) of all n-grams within one text but the lone blank, and where each begins."""
+    m = len(c) - n + 1
+    if m <= 0:
+        return np.empty(0, np.uint32), np.empty(0, np.int64)
+    code, whole = np.full(m, n, np.uint32), np.ones(m, bool)
+    for i in range(n):
+        part = c[i : i + m]
+        code = (code << np.uint32(6)) | part
+        whole &= part != 64
+    if n == 1:
+        whole &= c != 0
+    at = np.nonzero(whole)[0]
+    return code[at], at
+
+
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    o = np.argsort(code, kind="stable")
+    code, n = code[o], n[o]
+    first = np.nonzero(np.concatenate([[True], code[1:] != code[:-1]]))[0] if len(code) else np.empty(0, np.int64)
+    return code[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = {}
-
-    def flush() -> pa.RecordBatch:
-        rows = [(lang, g, n) for lang, c in held.items() for g, n in c.items()]
-        held.clear()
-        cols = list(zip(*rows)) if rows else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["code", "gram", "n"])
-
-    for b in batches:
-        for code, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.setdefault(code, Counter()).update(grams(text))
-        if sum(map(len, held.values())) > HELD:
-            yield flush()
-    yield flush()
-
-
-def profiles(docs: DataFrame, *, profile_size: int = 500) -> dict[str, list[str]]:
-    """The ranked n-grams of each language found among the labels; at most 6 x profile_size strings."""
+    """(code, text) to the n-gram counts of each language; a task holds the counts of its n-grams only."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for big in batches:
+        for lo in range(0, big.num_rows, 1000):
+            b = big.slice(lo, 1000)
+            by: dict[str, list[str]] = {}
+            for code, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by.setdefault(code, []).append(text)
+            for code, texts in by.items():
+                c = letters(texts)
+                new = [np.unique(gram_codes(c, n)[0], return_counts=True) for n in range(1, LONGEST + 1)]
+                held[code] = _summed(*zip(*new, *([held[code]] if code in held else [])))
+    for code, (grams, n) in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([code] * len(grams), pa.string()), pa.array(grams.astype(np.int32)), pa.array(n.astype(np.int64))], names=["code", "gram", "n"])
+
+
+def profiles(docs: DataFrame, *, profile_size: int = 500) -> dict[str, list[int]]:
+    """The ranked n-grams of each language found among the labels, as codes; at most 6 x profile_size of them."""
     labelled = docs.select(label_code(F.col("lang")).alias("code"), "text").filter("code is not null and text is not null")
-    counts = labelled.mapInArrow(_count, "code string, gram string, n long").groupBy("code", "gram").agg(F.sum("n").alias("n"))
+    counts = labelled.mapInArrow(_count, "code string, gram int, n long").groupBy("code", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("code").orderBy(F.col("n").desc(), "gram")
     top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= profile_size)
-    out: dict[str, list[str]] = {}
+    out: dict[str, list[int]] = {}
     for r in sorted(top.collect(), key=lambda r: (r.code, r.rank)):
         out.setdefault(r.code, []).append(r.gram)
     return out
 
 
 class Ranker:
-    """Out-of-place distances of n-gram counts to a set of profiles."""
+    """Out-of-place distances of texts to a set of profiles, over the n-grams that any profile has."""
 
-    def __init__(self, known: dict[str, list[str]], profile_size: int):
+    def __init__(self, known: dict[str, list[int]], profile_size: int):
         self.langs, self.k = sorted(known), profile_size
-        place: dict[str, int] = {}
-        for lang in self.langs:
-            for g in known[lang]:
-                place.setdefault(g, len(place))
-        self.place = place
-        self.ranks = np.full((len(place) + 1, len(self.langs)), -1, np.int32)
+        self.vocabulary = np.unique(np.concatenate([np.array(known[x], np.int64) for x in self.langs] or [np.empty(0, np.int64)]))
+        self.ranks = np.full((len(self.vocabulary), len(self.langs)), -1, np.int32)
         for j, lang in enumerate(self.langs):
-            for r, g in enumerate(known[lang]):
-                self.ranks[place[g], j] = r
-
-    def __call__(self, counts: Counter) -> tuple[int, float]:
-        """Index of the nearest language (ties by code) and its confidence; (-1, 0.0) for a text with no letters."""
-        if not counts or not self.langs:
-            return -1, 0.0
-        top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: self.k]
-        missing = len(self.place)
-        theirs = self.ranks[[self.place.get(g, missing) for g, _ in top]]
-        mine = np.arange(len(top), dtype=np.int32)[:, None]
-        d = np.where(theirs < 0, self.k, np.abs(theirs - mine)).sum(0)
-        o = np.argsort(d, kind="stable")
-        if len(o) == 1:
-            return int(o[0]), 1.0
-        first, second = int(d[o[0]]), int(d[o[1]])
-        return int(o[0]), (second - first) / second if second else 0.0
-
-
-def _assign(known: dict[str, list[str]], profile_size: int, least_lead: float):
+            self.ranks[np.searchsorted(self.vocabulary, known[lang]), j] = np.arange(len(known[lang]))
+        self.place = []  # for each n, from code to place in the vocabulary
+        for n in range(1, LONGEST + 1):
+            t = np.full(1 << 6 * n, -1, np.int16)
+            mine = np.nonzero(self.vocabulary >> 6 * n == n)[0]
+            t[self.vocabulary[mine] - (n << 6 * n)] = mine
+            self.place.append(t)
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """[texts, vocabulary]"""
+        c = letters(texts)
+        owner = np.cumsum(c == 64)
+        g, keys = len(self.vocabulary), []
+        for n in range(1, LONGEST + 1):
+            code, at = gram_codes(c, n)
+            place = self.place[n - 1][code - np.uint32(n << 6 * n)]
+            hit = place >= 0
+            keys.append(owner[at[hit]] * g + place[hit])
+        return np.bincount(np.concatenate(keys), minlength=len(texts) * g).reshape(len(texts), g)
+
+    def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each row's nearest language (ties by code) and its confidence; (-1, 0) for rows without known n-grams."""
+        best, lead = np.full(len(counts), -1), np.zeros(len(counts))
+        row, col = np.nonzero(counts)
+        if not len(row):
+            return best, lead
+        o = np.lexsort((col, -counts[row, col], row))
+        row, col = row[o], col[o]
+        rows, start, size = np.unique(row, return_index=True, return_counts=True)
+        mine = np.arange(len(row)) - np.repeat(start, size)
+        top = mine < self.k
+        theirs = self.ranks[col]
+        d = np.where(theirs < 0, self.k, np.abs(theirs - mine[:, None])) * top[:, None]
+        d = np.add.reduceat(d, start, axis=0)
+        best[rows] = d.argmin(1)
+        two = np.partition(d, min(1, d.shape[1] - 1), axis=1)
+        lead[rows] = 1.0 if d.shape[1] == 1 else np.where(two[:, 1] > 0, (two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1), 0.0)
+        return best, lead
+
+
+def _assign(known: dict[str, list[int]], profile_size: int, least_lead: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = Ranker(known, profile_size)
         name = [*rank.langs, None]
-        for b in batches:
-            rows = []
-            for doc_id, label, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                parts = [grams(p) for p in paragraphs(text)]
-                whole: Counter = Counter()
-                for c in parts:
-                    whole.update(c)
-                d, d_conf = rank(whole)
-                got = [rank(c) if len(parts) > 1 else (d, d_conf) for c in parts]
-                got = [(i, x) if i >= 0 and (x >= least_lead or i == d) else (d, x) for i, x in got]
-                mixed = len({i for i, _ in got}) > 1
-                rows += [(doc_id, k, name[i], x, name[d], d_conf, label, mixed) for k, (i, x) in enumerate(got, 1)]
-            cols = list(zip(*rows)) if rows else [[]] * 8
-            types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "segment_no", "lang", "confidence", "doc_lang", "doc_confidence", "label", "mixed"])
+        for big in batches:
+            parts = [paragraphs(t) for t in big.column(2).to_pylist()]
+            lo = 0
+            while lo < len(parts):
+                hi, n = lo + 1, len(parts[lo])
+                while hi < len(parts) and n + len(parts[hi]) <= TOGETHER:
+                    n += len(parts[hi])
+                    hi += 1
+                yield batch(rank, name, big.slice(lo, hi - lo), parts[lo:hi])
+                lo = hi
+
+    def batch(rank: Ranker, name: list, b: pa.RecordBatch, parts: list[list[str]]) -> pa.RecordBatch:
+        sizes = np.array([len(p) for p in parts])
+        doc = np.repeat(np.arange(len(parts)), sizes)
+        flat = [p for x in parts for p in x]
+        if not flat or not rank.langs:
+            own = whole = np.full(len(flat), -1)
+            lead = whole_lead = np.zeros(len(flat))
+        else:
+            counts = np.concatenate([rank.counts(flat[i : i + TOGETHER]) for i in range(0, len(flat), TOGETHER)])
+            has = np.nonzero(sizes)[0]
+            at = np.zeros(len(parts), np.int64)
+            at[has] = np.arange(len(has))
+            d, d_lead = rank.nearest(np.add.reduceat(counts, (np.cumsum(sizes) - sizes)[has], axis=0))
+            whole, whole_lead = d[at[doc]], d_lead[at[doc]]
+            own, lead = rank.nearest(counts)
+            keep = (own >= 0) & ((lead >= least_lead) | (own == whole))
+            own = np.where(keep, own, whole)
+        first = np.cumsum(sizes) - sizes
+        mixed = np.zeros(len(parts), bool)
+        np.logical_or.at(mixed, doc, own != own[first[doc]] if len(own) else np.empty(0, bool))
+        take = pa.array(doc)
+        named = lambda i: pa.array([name[k] for k in i], pa.string())
+        cols = [b.column(0).take(take), pa.array((np.arange(len(doc)) - first[doc] + 1).astype(np.int32)), named(own), pa.array(lead), named(whole), pa.array(whole_lead), b.column(1).take(take), pa.array(mixed[doc])]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "segment_no", "lang", "confidence", "doc_lang", "doc_confidence", "label", "mixed"])
 
     return run
 
 
-def segment_languages(docs: DataFrame, *, known: dict[str, list[str]] | None = None, profile_size: int = 500, least_lead: float = 0.02) -> DataFrame:
+def segment_languages(docs: DataFrame, *, known: dict[str, list[int]] | None = None, profile_size: int = 500, least_lead: float = 0.02) -> DataFrame:
     """A row per paragraph: doc_id, segment_no (from 1), lang, confidence, doc_lang, doc_confidence, label (the code
     the given lang spells), mixed.
 
     A paragraph whose lead is under `least_lead` takes the language of its document. Reads doc_id, text and lang;
     other columns are not read, whatever their names. Defined cases: null or blank texts have no paragraphs and
-    give no rows; a paragraph without letters takes its document's language with confidence 0, which is null if the
-    document has no letters; with no usable label in the table there are no profiles and lang is null throughout;
+    give no rows; a paragraph without known n-grams takes its document's language with confidence 0, which is null if
+    the document has none either; with no usable label in the table there are no profiles and lang is null throughout;
     repeated rows give repeated results.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
