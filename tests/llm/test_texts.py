@@ -195,3 +195,17 @@ def test_hazards(spark):
     lengths = [("s", n) for n in range(100, 300) for _ in range(2)] + [("s", 180)] * 150 + [(None, 5)]
     h = tr.length_hazards(spark.createDataFrame(lengths, "source string, length int"), by="source").filter("limit").collect()
     assert [(r.source, r.length) for r in h] == [("s", 180)]
+
+
+def test_long_texts(spark):
+    """A text of many paragraphs, and one of a single very long one."""
+    many = "\n\n".join([SAMPLE["en"], SAMPLE["fr"]] * 600)
+    one = (SAMPLE["de"] + " ") * 20_000
+    got = lang.segment_languages(corpus(spark, [(500, many, "en"), (501, one, "en")]), profile_size=200).filter("doc_id >= 500")
+    rows = {(r.doc_id, r.segment_no): r.lang for r in got.collect()}
+    assert len(rows) == 1201 and rows[500, 1] == "en" and rows[500, 1200] == "fr" and rows[501, 1] == "de"
+    df = spark.createDataFrame([("a", one), ("b", one + " x"), ("c", "x" * 3_000_000)], "key string, text string")
+    members, links = nd.near_duplicates(df, key="key", text="text")
+    assert members.count() == 3 and links.count() == 1
+    cut = tr.cut_texts(df.withColumn("source", F.lit("s")), keys=["key"], text="text", by="source")
+    assert cut.count() == 3

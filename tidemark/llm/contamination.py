@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import WordHash, batch_ids, plain_words, window_hashes
+from tidemark.llm.words import WordHash, batch_ids, plain_words, slices, window_hashes
 
 #: 16 bytes a seed: at most 32 MB in a task.
 BROADCAST_SEEDS = 2_000_000
@@ -75,7 +75,7 @@ def _seed_rows(seed: int):
     """(id, text) batches to the distinct (id, seed hash) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, offsets = batch_ids(b.column(1).to_pylist())
             h, at = window_hashes(ids, offsets, seed)
             owner = np.searchsorted(offsets, at, side="right") - 1
@@ -90,7 +90,7 @@ def _probe(seed: int, hashes: np.ndarray, items: np.ndarray):
     """(id, text) batches to distinct (id, item) that share a seed; hashes is sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, offsets = batch_ids(b.column(1).to_pylist())
             h, at = window_hashes(ids, offsets, seed)
             lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")

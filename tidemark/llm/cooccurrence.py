@@ -148,9 +148,10 @@ class PairCounts:
             )
         n_a = self.items().select(F.col("item").alias("a"), F.col("n").alias("n_a"))
         n_b = self.items().select(F.col("item").alias("b"), F.col("n").alias("n_b"))
+        baskets = self.total().first().n
         lift = F.col("n_ab").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b"))
         return (
-            pairs.join(n_a, "a").join(n_b, "b").crossJoin(F.broadcast(self.total()))  # total() is one row
+            pairs.join(n_a, "a").join(n_b, "b").withColumn("n", F.lit(baskets).cast("long"))
             .select("a", "b", "n_ab", "n_a", "n_b", "n", lift.alias("lift"), F.log2(lift).alias("pmi"))
         )
 

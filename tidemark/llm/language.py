@@ -184,7 +184,7 @@ def _assign(known: dict[str, list[int]], profile_size: int, least_lead: float):
             lo = 0
             while lo < len(parts):
                 hi, n = lo + 1, len(parts[lo])
-                while hi < len(parts) and n + len(parts[hi]) <= TOGETHER:
+                while hi < len(parts) and hi - lo < TOGETHER and n + len(parts[hi]) <= TOGETHER:
                     n += len(parts[hi])
                     hi += 1
                 yield batch(rank, name, big.slice(lo, hi - lo), parts[lo:hi])
@@ -198,13 +198,16 @@ def _assign(known: dict[str, list[int]], profile_size: int, least_lead: float):
             own = whole = np.full(len(flat), -1)
             lead = whole_lead = np.zeros(len(flat))
         else:
-            counts = np.concatenate([rank.counts(flat[i : i + TOGETHER]) for i in range(0, len(flat), TOGETHER)])
-            has = np.nonzero(sizes)[0]
-            at = np.zeros(len(parts), np.int64)
-            at[has] = np.arange(len(has))
-            d, d_lead = rank.nearest(np.add.reduceat(counts, (np.cumsum(sizes) - sizes)[has], axis=0))
-            whole, whole_lead = d[at[doc]], d_lead[at[doc]]
-            own, lead = rank.nearest(counts)
+            # a document of many paragraphs is taken in pieces
+            total, own, lead = np.zeros((len(parts), len(rank.vocabulary)), np.int64), [], []
+            for i in range(0, len(flat), TOGETHER):
+                counts = rank.counts(flat[i : i + TOGETHER])
+                np.add.at(total, doc[i : i + TOGETHER], counts)
+                x, y = rank.nearest(counts)
+                own.append(x), lead.append(y)
+            own, lead = np.concatenate(own), np.concatenate(lead)
+            d, d_lead = rank.nearest(total)
+            whole, whole_lead = d[doc], d_lead[doc]
             keep = (own >= 0) & ((lead >= least_lead) | (own == whole))
             own = np.where(keep, own, whole)
         first = np.cumsum(sizes) - sizes

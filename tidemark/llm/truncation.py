@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import MIX, mixed
+from tidemark.llm.words import MIX, mixed, slices
 from tidemark.session import durable
 
 SEP = "\x01"
@@ -142,7 +142,7 @@ class Contexts:
 
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     contexts = Contexts()
-    for b in batches:
+    for b in slices(batches):
         texts = b.column(0).to_pylist()
         kinds = [ending(t) for t in texts]
         keys, state, owner = contexts([last_unit(body(t)[0]) for t in texts])
@@ -158,7 +158,7 @@ def _counts(wanted: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = Contexts()
-        for b in batches:
+        for b in slices(batches):
             keys, state, _ = contexts([body(t)[0] for t in b.column(0).to_pylist()])
             flat, s = keys.ravel(), np.tile(state, 3)
             place = flat >> np.uint64(64 - BITS)
@@ -196,8 +196,9 @@ def length_hazards(lengths: DataFrame, *, by: str, around: int = 40, apart: int
     w = Window.partitionBy().orderBy("p_value")
     ranked = tests.withColumns({"r": F.row_number().over(w), "m": F.count("*").over(Window.partitionBy())})
     cut = ranked.filter(F.col("p_value") <= F.lit(fdr) * F.col("r") / F.col("m")).agg(F.max("p_value").alias("cut"))
-    out = c.crossJoin(F.broadcast(cut))  # one row
-    return out.withColumn("limit", F.coalesce((F.col("texts") >= least) & (F.col("p_value") <= F.col("cut")), F.lit(False))).drop("cut", "around")
+    most = cut.first().cut  # null if no length passes
+    passed = F.lit(False) if most is None else (F.col("texts") >= least) & (F.col("p_value") <= most)
+    return c.withColumn("limit", passed).drop("around")
 
 
 def cut_texts(rows: DataFrame, *, keys: Sequence[str], text: str, by: str, at_limit: float = 0.9, elsewhere: float = 0.5, seen: int = 3, closing: float = 0.0005) -> DataFrame:

@@ -12,6 +12,13 @@ WORD = re.compile(r"[^\W_]+")
 WORD_OR_SEP = re.compile(r"[^\W_]+|\x01")
 
 
+def slices(batches, rows: int = 2000):
+    """Record batches of at most `rows` rows, so that a task holds the words of few texts at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def plain_words(text: str | None) -> list[str]:
     """Null gives no words."""
     return WORD.findall(MARKUP.sub(" ", text.lower().replace(SEP, " "))) if text else []
