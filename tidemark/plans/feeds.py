@@ -12,12 +12,13 @@ from tidemark.sources import documents as D
 from tidemark.sources.tables import table
 
 
-@query("json_documents", "SELECT source, job_id, country, company_name, job_title, location, location_state, salary_min, salary_max, salary_is_predicted, ingested_at::TIMESTAMP AS ingested_at FROM raw_postings")
+@query("json_documents", "SELECT source, job_id, country, company_name, job_title, location, location_state, salary_min, salary_max, salary_is_predicted, strftime(ingested_at, '%Y-%m-%d %H:%M:%S') AS loaded FROM raw_postings")
 def json_documents(spark: SparkSession, d: str) -> DataFrame:
     """Postings written as nested JSON documents and read back flat."""
     path = new_path(spark, "documents")
     D.to_documents(table(spark, d, "raw_postings"), ["source"]).write.json(path)
-    return D.read_postings(spark, path)
+    flat = D.read_postings(spark, path)
+    return flat.withColumn("loaded", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss")).drop("ingested_at")
 
 
 @query("export_partitions", "SELECT source, coalesce(strftime(posted_date, '%Y-%m'), 'none') AS posted_month, count(*) AS n FROM raw_postings GROUP BY 1, 2")
@@ -87,11 +88,11 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return one
 
 
-@query("freshness", "SELECT source, max(last_seen)::TIMESTAMP AS last_seen, CAST(date_diff('day', CAST(max(last_seen) AS DATE), DATE '2026-10-18') AS INT) AS days_behind, date_diff('day', CAST(max(last_seen) AS DATE), DATE '2026-10-18') <= 3 AS fresh FROM raw_postings GROUP BY 1")
+@query("freshness", "SELECT source, strftime(max(last_seen), '%Y-%m-%d %H:%M:%S') AS last_seen, CAST(date_diff('day', CAST(max(last_seen) AS DATE), DATE '2026-10-18') AS INT) AS days_behind, date_diff('day', CAST(max(last_seen) AS DATE), DATE '2026-10-18') <= 3 AS fresh FROM raw_postings GROUP BY 1")
 def freshness(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "raw_postings").groupBy("source").agg(F.max("last_seen").cast("timestamp_ntz").alias("last_seen"))
+    g = table(spark, d, "raw_postings").groupBy("source").agg(F.max("last_seen").alias("last_seen"))
     behind = F.datediff(F.lit("2026-10-18"), F.col("last_seen"))
-    return g.select("source", "last_seen", behind.alias("days_behind"), (behind <= 3).alias("fresh"))
+    return g.select("source", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), behind.alias("days_behind"), (behind <= 3).alias("fresh"))
 
 
 @query(

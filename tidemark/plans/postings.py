@@ -160,10 +160,10 @@ for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), (
     _CLEAN = f"replace({_CLEAN}, '{_e}', '{_c}')"
 
 
-@query("html_clean", f"SELECT source, job_id, ingested_at, md5(trim(regexp_replace({_CLEAN}, '[ \\t]+', ' ', 'g'))) AS text_md5 FROM raw_postings WHERE description_raw IS NOT NULL")
+@query("html_clean", f"SELECT source, job_id, strftime(ingested_at, '%Y-%m-%d %H:%M:%S') AS loaded, md5(trim(regexp_replace({_CLEAN}, '[ \\t]+', ' ', 'g'))) AS text_md5 FROM raw_postings WHERE description_raw IS NOT NULL")
 def html_clean(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "raw_postings").filter("description_raw is not null")
-    return p.select("source", "job_id", "ingested_at", F.md5(C.html_to_text(F.col("description_raw"))).alias("text_md5"))
+    return p.select("source", "job_id", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss").alias("loaded"), F.md5(C.html_to_text(F.col("description_raw"))).alias("text_md5"))
 
 
 @query(
@@ -182,16 +182,16 @@ def tech_match(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(names, "name").select("source", "job_id", "tech_slug").distinct()
 
 
-@query("url_parts", "SELECT source, job_id, ingested_at, lower(regexp_extract(redirect_url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(redirect_url, '^([^?#]*)', 1) AS bare, regexp_extract(redirect_url, '^(.*/)[^/]*$', 1) AS prefix FROM raw_postings WHERE redirect_url IS NOT NULL")
+@query("url_parts", "SELECT source, job_id, strftime(ingested_at, '%Y-%m-%d %H:%M:%S') AS loaded, lower(regexp_extract(redirect_url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(redirect_url, '^([^?#]*)', 1) AS bare, regexp_extract(redirect_url, '^(.*/)[^/]*$', 1) AS prefix FROM raw_postings WHERE redirect_url IS NOT NULL")
 def url_parts(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("redirect_url")
-    return table(spark, d, "raw_postings").filter(u.isNotNull()).select("source", "job_id", "ingested_at", C.url_host(u).alias("host"), C.bare_url(u).alias("bare"), F.regexp_extract(u, r"^(.*/)[^/]*$", 1).alias("prefix"))
+    return table(spark, d, "raw_postings").filter(u.isNotNull()).select("source", "job_id", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss").alias("loaded"), C.url_host(u).alias("host"), C.bare_url(u).alias("bare"), F.regexp_extract(u, r"^(.*/)[^/]*$", 1).alias("prefix"))
 
 
 @query(
     "search_payload",
     """WITH c AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS c FROM (SELECT DISTINCT category FROM raw_postings WHERE category IS NOT NULL)), x AS (SELECT prefix, row_number() OVER (ORDER BY prefix) - 1 AS u FROM (SELECT DISTINCT regexp_extract(redirect_url, '^(.*/)[^/]*$', 1) AS prefix FROM raw_postings WHERE redirect_url IS NOT NULL))
-SELECT source, job_id, ingested_at, CAST(c AS INT) AS c, CAST(u AS INT) AS u, regexp_extract(redirect_url, '([^/]*)$', 1) AS rest FROM raw_postings r LEFT JOIN c ON c.category = r.category LEFT JOIN x ON x.prefix = regexp_extract(redirect_url, '^(.*/)[^/]*$', 1)""",
+SELECT source, job_id, strftime(ingested_at, '%Y-%m-%d %H:%M:%S') AS loaded, CAST(c AS INT) AS c, CAST(u AS INT) AS u, regexp_extract(redirect_url, '([^/]*)$', 1) AS rest FROM raw_postings r LEFT JOIN c ON c.category = r.category LEFT JOIN x ON x.prefix = regexp_extract(redirect_url, '^(.*/)[^/]*$', 1)""",
 )
 def search_payload(spark: SparkSession, d: str) -> DataFrame:
     """Dictionary-encoded rows: indexes into sorted dictionaries of categories and URL prefixes."""
@@ -202,7 +202,7 @@ def search_payload(spark: SparkSession, d: str) -> DataFrame:
         return p.select(c).filter(F.col(c).isNotNull()).distinct().withColumn(name, F.row_number().over(w) - 1)
 
     j = p.join(dictionary("category", "c"), "category", "left").join(dictionary("prefix", "u"), "prefix", "left")
-    return j.select("source", "job_id", "ingested_at", "c", "u", F.regexp_extract("redirect_url", r"([^/]*)$", 1).alias("rest"))
+    return j.select("source", "job_id", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss").alias("loaded"), "c", "u", F.regexp_extract("redirect_url", r"([^/]*)$", 1).alias("rest"))
 
 
 _FILTER = "contains(lower(coalesce(job_title, '')), 'engineer') AND (salary_max IS NULL OR salary_max >= 80000) AND (location_state IN ('Texas', 'Ohio') OR location ILIKE '%remote%')"

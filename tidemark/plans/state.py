@@ -33,10 +33,11 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return R.upsert(o.filter("status <> 'P'"), i, keys=["k"], keep=["first_seen"], fill=["price"])
 
 
-@query("last_load_wins", "SELECT source, job_id, job_title, ingested_at FROM raw_postings QUALIFY row_number() OVER (PARTITION BY source, job_id ORDER BY ingested_at DESC, job_title DESC) = 1")
+@query("last_load_wins", "SELECT source, job_id, job_title, strftime(ingested_at, '%Y-%m-%d %H:%M:%S') AS loaded FROM raw_postings QUALIFY row_number() OVER (PARTITION BY source, job_id ORDER BY ingested_at DESC, job_title DESC) = 1")
 def last_load_wins(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "raw_postings").select("source", "job_id", "job_title", "ingested_at")
-    return R.first_per_key(p, ["source", "job_id"], [F.col("ingested_at").desc(), F.col("job_title").desc()])
+    last = R.first_per_key(p, ["source", "job_id"], [F.col("ingested_at").desc(), F.col("job_title").desc()])
+    return last.select("source", "job_id", "job_title", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss").alias("loaded"))
 
 
 @query("insert_ignore", f"WITH o AS ({_ORDERS}) SELECT * FROM o WHERE status <> 'P' UNION ALL SELECT k, 'N', price, first_seen, last_seen FROM o WHERE status = 'P'")
