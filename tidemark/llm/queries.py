@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
     "p2_found",
     """
 WITH best AS (SELECT snapshot_date, tech_slug, company_name, max(postings) AS m FROM market_snapshot_companies WHERE postings IS NOT NULL GROUP BY 1, 2, 3)
-SELECT strftime(snapshot_date, '%Y-%m-%d') AS snapshot_date, tech_slug, company_name, place
+SELECT strftime(snapshot_date, '%Y-%m-%d') AS snapshot_date, tech_slug, company_name, CAST(place AS INT) AS place
 FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_date, tech_slug ORDER BY m DESC, company_name) AS place FROM best) WHERE place <= 10
 """,
 )
