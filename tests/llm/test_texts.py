@@ -191,6 +191,22 @@ def test_cut_texts(spark):
     assert tr.cut_texts(df.limit(0), keys=["source", "id"], text="text", by="source").count() == 0
 
 
+def test_marks_that_many_texts_share(spark):
+    """Marks at a boundary, on copies of one text and at a field limit are cuts; only a line of many different texts is none."""
+    assert tr.body("You will test tools in the... read more ") == ("You will test tools in the", True)
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:03d}")
+    rows = [("plain", f"p{k}", f"You will test {word(k)} tools. " * (1 + k % 7) + "Good pay.") for k in range(200)]
+    edge = [("digest", f"e{k}", f"You will build {word(k)} carts. " * (1 + k % 9) + "... read more") for k in range(40)]
+    copies = [("copied", f"c{k}", "You will check maps in the north with great...") for k in range(40)]
+    # cut at 300 characters: another start each, one and the same end
+    limit = [("field", f"l{k}", f"{word(k)} carts ".ljust(250, "x") + ". You check maps for all the customers who ask...".rjust(50, "y")) for k in range(40)]
+    lines = [("closed", f"f{k}", f"You will sort {'many ' * k}boxes.\nFor more about this role...") for k in range(40)]
+    df = spark.createDataFrame(rows + edge + copies + limit + lines, "source string, id string, text string")
+    out = tr.cut_texts(df, keys=["source", "id"], text="text", by="source").collect()
+    assert {len(t) for _, _, t in limit} == {300} and {r.limit for r in out if r.source == "field"} == {True}
+    assert {r.id for r in out if r.cut} == {i for _, i, _ in edge + copies + limit}
+
+
 def test_hazards(spark):
     lengths = [("s", n) for n in range(100, 300) for _ in range(2)] + [("s", 180)] * 150 + [(None, 5)]
     h = tr.length_hazards(spark.createDataFrame(lengths, "source string, length int"), by="source").filter("limit").collect()

@@ -47,11 +47,11 @@ OPEN, MARKED, DANGLING, WORDS, COMPLETE = "open markup", "marked", "dangling", "
 
 
 def body(text: str) -> tuple[str, bool]:
-    """Text without trailing blanks and without a mark of shortening, and whether there was one."""
-    t = text.rstrip()
-    end = max(0, len(t) - 60)  # no mark is longer
-    m = MARK.search(t, end)
-    return (t[: m.start()].rstrip(), True) if m else (t, False)
+    """Text without trailing blanks and without marks of shortening, and whether there was one."""
+    t, marked = text.rstrip(), False
+    while m := MARK.search(t, max(0, len(t) - 60)):  # no mark is longer; "..." may stand before "read more"
+        t, marked = t[: m.start()].rstrip(), True
+    return t, marked
 
 
 def last_unit(text: str) -> str:
@@ -205,12 +205,13 @@ def cut_texts(rows: DataFrame, *, keys: Sequence[str], text: str, by: str, at_li
     """A row per non-blank text: keys, length, kind, share (of like endings that end a unit; null if decided by kind), limit, cut.
 
     closing: words that end at least this share of all texts (and more than 5) count as an ending even if no unit
-    inside a text ends so, texts at a field limit aside; a mark after a line that ten times as many share is no sign of a cut. Defined cases: null and blank texts give no row; repeated rows give a row each; texts
+    inside a text ends so, texts at a field limit aside; a mark after a line that ten times as large a share of the
+    distinct texts have is no sign of a cut, unless the text ends at a boundary or at a field limit. Defined cases: null and blank texts give no row; repeated rows give a row each; texts
     of one word are judged like others; an empty table gives no rows; null keys are kept; columns not named are not
     read.
     """
     spark = rows.sparkSession
-    src = rows.select(F.col(text).alias("text"), *[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)], F.col(by).alias("by")).filter(F.col("text").rlike(r"\S"))
+    src = rows.select(F.col(text).alias("text"), *[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)], F.col(by).alias("by"), F.xxhash64(text).alias("same_text")).filter(F.col("text").rlike(r"\S"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields[1:])
     tails = durable(src.mapInArrow(_tails, fields + ", length int, kind string, k3 long, k2 long, j3 long"), "tails")
     open_ = tails.filter(F.col("kind") == WORDS)
@@ -229,7 +230,7 @@ def cut_texts(rows: DataFrame, *, keys: Sequence[str], text: str, by: str, at_li
     limits = length_hazards(tails, by="by").filter("limit").select(F.col("by").alias("l_by"), F.col("length").alias("l_length"))
     t = tails.join(limits, F.col("by").eqNullSafe(F.col("l_by")) & (F.col("length") == F.col("l_length")), "left")
     t = durable(t.withColumn("limit", F.col("l_length").isNotNull()).drop("l_by", "l_length"), "limits")
-    total = t.count()
+    total, different = t.agg(F.count("*"), F.countDistinct("same_text")).first()
     floor = F.greatest(F.lit(5), F.lit(closing * total))
     # words that end many whole texts; what stands at a field limit may have been cut there, again and again
     finals = t.filter((F.col("kind") == WORDS) & ~F.col("limit")).select(F.explode(F.array("k3", "k2", "j3")).alias("key")).groupBy("key").agg(F.count("*").alias("final")).filter(F.col("final") > floor)
@@ -245,9 +246,10 @@ def cut_texts(rows: DataFrame, *, keys: Sequence[str], text: str, by: str, at_li
     endings = endings.select("k3", "k2", "j3", share.alias("share"))
 
     t = t.join(endings, ["k3", "k2", "j3"], "left")
-    # a mark after one and the same line in many texts belongs to that line
-    lines = tails.filter(F.col("kind") == MARKED).groupBy("k3").agg(F.count("*").alias("same")).filter(F.col("same") >= F.greatest(F.lit(5), F.lit(10 * closing * total)))
-    t = t.join(lines.withColumnRenamed("k3", "l3"), (F.col("kind") == MARKED) & (F.col("k3") == F.col("l3")), "left")
+    # a mark after one and the same line in many different texts belongs to that line; k3 is 0 where no word ends the text
+    line = (F.col("kind") == MARKED) & (F.col("k3") != 0) & ~F.col("limit")
+    lines = t.filter(line).groupBy("k3").agg(F.countDistinct("same_text").alias("same")).filter(F.col("same") >= F.greatest(F.lit(5), F.lit(10 * closing * different)))
+    t = t.join(lines.withColumnRenamed("k3", "l3"), line & (F.col("k3") == F.col("l3")), "left")
     t = t.withColumn("kind", F.when(F.col("same").isNotNull(), F.lit(COMPLETE)).otherwise(F.col("kind")))
     share = F.when(F.col("kind") == WORDS, F.col("share"))
     need = F.when(F.col("limit"), F.lit(at_limit)).otherwise(F.lit(elsewhere))
