@@ -74,6 +74,16 @@ def test_reordered_passages(spark):
     assert [(r.doc_id, r.n_tiles, r.coverage) for r in got] == [(1, 2, 1.0)]
 
 
+def test_short_passages_leak(spark):
+    """13 consecutive words are a leak however long the item is; 12 words of it are none."""
+    item = [f"w{k}" for k in range(100)]
+    docs = [(1, item[40:53]), (2, item[40:52]), (3, item[:12] + ["x"] + item[50:60]), (4, ["y"] * 5 + item[80:100])]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in docs], "doc_id long, text string")
+    it = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, r.longest) for r in con.leaked(df, it).collect()}
+    assert got == {(1, 13), (4, 20)} and {k for k, _ in got} == {r.doc_id for r in con.tile_overlaps(df, it, seed=13).collect()}
+
+
 # --- 10
 
 

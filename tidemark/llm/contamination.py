@@ -148,6 +148,9 @@ def tile_overlaps(docs: DataFrame, items: DataFrame, *, seed: int = 13, broadcas
     return pairs.select("doc_id", "text", "item_id", "item_text").mapInArrow(_tile(seed), "doc_id long, item_id long, n_tiles int, longest int, covered_words int, coverage double")
 
 
-def leaked(docs: DataFrame, items: DataFrame, *, seed: int = 6, coverage: float = 0.5, **kw) -> DataFrame:
-    """Documents in which tiles of at least `seed` words cover at least `coverage` of an item, in any order."""
-    return tile_overlaps(docs, items, seed=seed, **kw).filter(F.col("coverage") >= coverage)
+def leaked(docs: DataFrame, items: DataFrame, *, seed: int = 6, coverage: float = 0.5, passage: int = 13, **kw) -> DataFrame:
+    """Documents that hold a passage of at least `passage` consecutive words of an item, or in which tiles of at
+    least `seed` words cover at least `coverage` of it, in any order. The longest tile is the longest common stretch
+    if `seed` is not above `passage`."""
+    found = tile_overlaps(docs, items, seed=seed, **kw)
+    return found.filter((F.col("longest") >= passage) | (F.col("coverage") >= coverage))

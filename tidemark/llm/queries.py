@@ -77,7 +77,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p8_leak_report")
 def p8_leak_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per item: documents in which tiles of 6 words or more cover half of it or more, in any order."""
+    """Per item: documents that hold 13 consecutive words of it, or in which tiles of 6 words or more cover half of it or more, in any order."""
     hits = contamination.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return hits.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("coverage").alias("best_coverage"), F.max("longest").alias("longest"))
 
