@@ -58,6 +58,21 @@ def test_incremental_equals_recount(spark):
     assert state(counts) == before and len(counts._segments) == 1
 
 
+def test_opened_again(spark):
+    """A table opened again has its counts, takes an update on top of them, and is compacted for all."""
+    old, new = {"1": {"a", "b"}, "2": {"a", "b", "c"}}, {"2": {"a", "c"}}
+    path = new_path(spark, "t")
+    first = co.PairCounts(spark, path)
+    first.update(items(spark, old))
+    again = co.PairCounts(spark, path)
+    assert state(again) == brute(old)
+    again.update(items(spark, new), items(spark, {"2": old["2"]}))
+    assert state(co.PairCounts(spark, path)) == brute({**old, **new})
+    first.compact()
+    third = co.PairCounts(spark, path)
+    assert len(third._segments) == 1 and state(third) == brute({**old, **new})
+
+
 def test_large_baskets_in_blocks(spark):
     baskets = {"big": {f"i{k:03d}" for k in range(40)}, "small": {"i001", "i002"}, "one": {"z"}}
     got = Counter((r.a, r.b) for r in co.pairs_of(items(spark, baskets), block=7).collect())

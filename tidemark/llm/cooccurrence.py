@@ -3,7 +3,9 @@
 State is a log of segments per table, each hash-bucketed by its key. An update compares the old and new
 item set of every basket named in a change, and writes +1/-1 for the pairs, items and baskets that the change
 adds or takes away; readers sum the segments of a bucket; compact() folds them into one. A segment is named
-by its number and is overwritten whole, so an update that was cut off is simply run again.
+by its number and is overwritten whole, so an update that was cut off is simply run again. Which segments count
+is said by the last manifest in the folder, written after the segment, so a table can be opened again by any
+session. One writer at a time.
 """
 
 from __future__ import annotations
@@ -60,18 +62,40 @@ class PairCounts:
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self._segments: list[int] = []
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._version, self._segments = self._last()
 
     SCHEMA = {"pairs": "a string, b string, n long", "items": "item string, n long", "total": "n long"}
 
+    def _at(self, name: str):
+        p = self._hadoop.Path(f"{self.path}/{name}")
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _last(self) -> tuple[int, list[int]]:
+        """Version and segments of the last manifest, named `version` or `version-segment-segment-...`; -1 if there is none."""
+        p, fs = self._at("manifest")
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        found = [[int(x) for x in n.split("-")] for n in names]
+        version, *segments = max(found, default=[-1])
+        return version, segments
+
+    def _publish(self, segments: list[int]) -> None:
+        """A manifest is an empty file whose name says all, so it is there whole or not at all."""
+        p, fs = self._at("manifest/" + "-".join(map(str, [self._version + 1, *segments])))
+        if not fs.createNewFile(p):
+            raise RuntimeError(f"{p} is there already: another writer?")
+        old, (folder, fs) = self._version, self._at("manifest")
+        self._version, self._segments = old + 1, segments
+        for f in fs.listStatus(folder):
+            if int(f.getPath().getName().split("-")[0]) <= old:
+                fs.delete(f.getPath(), False)
+
     def _write(self, deltas: dict[str, DataFrame], segment: int) -> None:
         for name, df in deltas.items():
             key = {"pairs": ["a", "b"], "items": ["item"], "total": []}[name]
             if key:
                 df = df.repartition(self.buckets, *key)
             df.write.mode("overwrite").parquet(f"{self.path}/{name}/segment={segment}")
-        if segment not in self._segments:
-            self._segments.append(segment)
 
     def _read(self, name: str) -> DataFrame:
         if not self._segments:
@@ -94,6 +118,7 @@ class PairCounts:
         after and before it. A basket in one of the two only appears or vanishes; one whose set is the same
         in both adds nothing, not even intermediate rows.
         """
+        self._version, self._segments = self._last()
         segment = max(self._segments, default=-1) + 1
         if old is None:
             signed = new.withColumn("sign", F.lit(1))
@@ -116,20 +141,21 @@ class PairCounts:
             },
             segment,
         )
+        self._publish([*self._segments, segment])
         return segment
 
     def compact(self) -> None:
         """Fold all segments into one, written beside them before they are forgotten."""
+        self._version, self._segments = self._last()
         segment = max(self._segments, default=-1) + 1
         folded = {"pairs": self.pairs().withColumnRenamed("n_ab", "n"), "items": self.items(), "total": self.total()}
-        kept, self._segments = self._segments, list(self._segments)
+        kept = self._segments
         self._write(folded, segment)
-        self._segments = [segment]
-        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._publish([segment])
         for s in kept:
             for name in self.SCHEMA:
-                p = fs.Path(f"{self.path}/{name}/segment={s}")
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                p, fs = self._at(f"{name}/segment={s}")
+                fs.delete(p, True)
 
     def scores(self, touched_by: int | None = None) -> DataFrame:
         """tech-neutral association table: a, b, n_ab, n_a, n_b, n, lift = n_ab * n / (n_a * n_b), pmi = log2(lift).
