@@ -32,6 +32,19 @@ def test_edit_distance():
     assert [lo.edit_distance(a, b) for a, b in [("abcd", "abdc"), ("abc", "abc"), ("abc", "axc"), ("abc", "ab"), ("", "ab"), ("abcdef", "x")]] == [1, 0, 1, 1, 2, 4]
 
 
+def test_slips_are_found_exactly():
+    """Every name within the allowed distance, as a look at the whole list finds it; short names with one swap too."""
+    names = ["falford", "lorport", "mosgate", "ashford", "wexford", "ashwick", "kelville falls", "saint quorwick hills"]
+    index = lo.SlipIndex(names)
+    typed = {x for n in names for k in range(len(n)) for x in (n[:k] + n[k + 1 :], n[: k + 1] + "q" + n[k + 1 :], n[:k] + "q" + n[k + 1 :], n[:k] + n[k : k + 2][::-1] + n[k + 2 :])}
+    typed |= {"flaford", "qaint quorwick hilsl", "aint quorwick hill", "x" * 5000, "q"}
+    for t in typed:
+        assert index(t) == [(i, e) for i, n in enumerate(names) if (e := lo.edit_distance(t, n, lo.slips(t))) <= lo.slips(t)]
+    match = lo.Matcher([(k, n, "Texas", "TX") for k, n in enumerate(names)], [("Texas", "TX")], 0.02)
+    for t, n in [("flaford", "falford"), ("lroport", "lorport"), ("mosagte", "mosgate"), ("ahsford", "ashford"), ("wxeford", "wexford"), ("ahswick", "ashwick")]:
+        assert match(t, None)[0] == names.index(n)
+
+
 def test_names():
     lines = en.Lines([("MANUFACTURING", 50), ("FOODS", 40), ("MFG", 9)])
     assert lines.split("Lotada Febako Mfg. Corporation") == ("LOTADAFEBAKO", "MANUFACTURING")

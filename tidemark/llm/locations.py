@@ -1,9 +1,9 @@
 """Mapping typed locations to a canonical list of cities.
 
-Values are deduplicated, taken apart into a city and a state, and the city is normalised. Candidates come from
-an inverted index of the list's character n-grams, scored by cosine under inverse-frequency weights. The best
-candidate is accepted above a threshold and a margin over the next one, and held against the typed letters by
-edit distance; a state decides among cities of one name. Everything else is reported as unmatched (-1).
+Values are deduplicated, taken apart into a city and a state, and the city is normalised. Candidates are all
+names within the allowed edit distance, found exactly by the strings that deletions leave of both. Those as near
+in letters are ordered by cosine over character n-grams under inverse-frequency weights, with a margin between the
+best two; a state decides among cities of one name. Everything else is reported as unmatched (-1).
 """
 
 from __future__ import annotations
@@ -119,6 +119,40 @@ def edit_distance(a: str, b: str, most: int = 3) -> int:
     return last[-1]
 
 
+def slips(s: str) -> int:
+    """Edit distance allowed from a typed name."""
+    return 1 if len(s) < 16 else 2
+
+
+def deletions(s: str, most: int) -> set[str]:
+    """What is left of `s` when up to `most` letters are taken out. Strings within that distance share one."""
+    out = last = {s}
+    for _ in range(most):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
+
+
+class SlipIndex:
+    """The names of a list within the edit distance allowed from a typed name, none left out."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.longest = names, max(map(len, names), default=0)
+        self.left: dict[str, list[int]] = {}
+        for i, n in enumerate(names):
+            # typed names that allow two slips have 16 letters or more, so the listed one has 14 or more
+            for x in deletions(n, 2 if len(n) >= 14 else 1):
+                self.left.setdefault(x, []).append(i)
+
+    def __call__(self, typed: str) -> list[tuple[int, int]]:
+        """(index of the name, distance)."""
+        most = slips(typed)
+        if len(typed) > self.longest + most:
+            return []
+        found = {i for x in deletions(typed, most) for i in self.left.get(x, ())}
+        return [(i, e) for i in sorted(found) if (e := edit_distance(typed, self.names[i], most)) <= most]
+
+
 def char_grams(s: str) -> Counter:
     """Padded 2- and 3-grams."""
     t = f" {s} "
@@ -156,29 +190,24 @@ class GramIndex:
 class Matcher:
     """Names the reference entry that a (location, hint) pair means; see map_locations for the rules."""
 
-    def __init__(self, entries: list[tuple[int, str, str, str]], states: list[tuple[str, str]], threshold: float, margin: float, candidates: int):
+    def __init__(self, entries: list[tuple[int, str, str, str]], states: list[tuple[str, str]], margin: float):
         self.parse = Parser(states)
         by: dict[str, list[tuple[str | None, int]]] = {}
         for i, city, state, _ in entries:
             by.setdefault(city_form(city), []).append((state, i))
-        self.by, self.index = by, GramIndex(sorted(by))
-        self.threshold, self.margin, self.candidates = threshold, margin, candidates
+        self.by, self.index, self.slips = by, GramIndex(sorted(by)), SlipIndex(sorted(by))
+        self.margin = margin
         self.near = lru_cache(200_000)(self._near)
 
     def _near(self, city: str) -> tuple[tuple[str, int, float], ...]:
         """Candidate names with their edit distance and cosine: those within the distance that the typed length allows."""
         if city in self.by:
             return ((city, 0, 1.0),)
+        found = self.slips(city)
+        if not found:
+            return ()
         s = self.index.scores(city)
-        top = np.argsort(-s, kind="stable")[: self.candidates]
-        most = 1 if len(city) < 16 else 2
-        out = []
-        for i in top:
-            if s[i] < self.threshold:
-                break
-            e = edit_distance(city, self.index.names[i], most)
-            if e <= most:
-                out.append((self.index.names[i], e, float(s[i])))
+        out = [(self.index.names[i], e, float(s[i])) for i, e in found]
         return tuple(sorted(out, key=lambda x: (x[1], -x[2], x[0])))
 
     def __call__(self, typed: str, hint: str | None) -> tuple[int, float, str, str | None]:
@@ -204,13 +233,13 @@ class Matcher:
 
 
 def map_locations(
-    rows: DataFrame, ref: DataFrame, *, location: str = "location", hint: str = "location_state", threshold: float = 0.3, margin: float = 0.02, candidates: int = 16, block: int = BLOCK
+    rows: DataFrame, ref: DataFrame, *, location: str = "location", hint: str = "location_state", margin: float = 0.02, block: int = BLOCK
 ) -> DataFrame:
     """A row per distinct (location, hint): location, hint, location_id (-1 if unmatched), score, city, state, uses.
 
-    An exact normalised name scores 1. Otherwise up to `candidates` names whose weighted cosine reaches
-    `threshold` are looked at, those one typing slip away (two in names of 16 letters and more) are kept, and the
-    nearest is taken unless another is as near in letters and within `margin` in cosine. A state written in the
+    An exact normalised name scores 1. Otherwise all names one typing slip away (two if 16 letters or more are
+    typed) are looked at, and the nearest is taken unless another is as near in letters and within `margin` in
+    weighted cosine. A state written in the
     location must be the entry's; the hint decides only between entries that the location leaves open.
 
     ref: location_id, city, state, state_code. Defined cases: null and blank locations are left out; a null or
@@ -226,7 +255,7 @@ def map_locations(
 
     def matcher(entries):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            match = Matcher(entries, states, threshold, margin, candidates)
+            match = Matcher(entries, states, margin)
             for b in batches:
                 got = [match(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
                 cols = list(zip(*got)) if got else [[]] * 4
