@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,19 +33,30 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a folder of our own if everything runs on this
+    machine, and an error on a cluster, whose executors would not see it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = "file://" + folder
         spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
 
 
+_written: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; drop_intermediate() removes it."""
+    path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -53,3 +66,19 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediate(spark: SparkSession) -> int:
+    """Remove what this session wrote by new_path() and durable(); returns the number of paths. Results not yet
+    written elsewhere are lost: call it when a query's rows have been stored."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in map(hadoop, paths):
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """`df` over as many partitions as shuffles have, by `cols`: for few bytes that cost much work a row, which the
+    adaptive planner would put into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
