@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "tidemark", master: str | None = None, partitions: int = 8, **conf: str) -> SparkSession:
@@ -80,5 +81,5 @@ def drop_intermediate(spark: SparkSession) -> int:
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """`df` over as many partitions as shuffles have, by `cols`: for few bytes that cost much work a row, which the
-    adaptive planner would put into one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+    adaptive planner would put into one task. The hash keeps Spark from taking an exchange before it for this one."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*cols))
