@@ -19,10 +19,9 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("block", [20_000, 3])
-def test_locations(spark, block):
+def test_locations(spark):
     df = spark.createDataFrame([(t, h, 9, "z") for t, h, _ in CASES for _ in range(2)], "location string, location_state string, location_id int, city string")
-    got = {(r.location, r.hint): (r.location_id, r.uses) for r in lo.map_locations(df, ref(spark), block=block).collect()}
+    got = {(r.location, r.hint): (r.location_id, r.uses) for r in lo.map_locations(df, ref(spark)).collect()}
     assert got == {(t, h): (w, 2) for t, h, w in CASES if w is not None}
     assert lo.map_locations(df.limit(0), ref(spark)).count() == 0
     assert {r.location_id for r in lo.map_locations(df, ref(spark).limit(0)).collect()} == {-1}
@@ -32,17 +31,29 @@ def test_edit_distance():
     assert [lo.edit_distance(a, b) for a, b in [("abcd", "abdc"), ("abc", "abc"), ("abc", "axc"), ("abc", "ab"), ("", "ab"), ("abcdef", "x")]] == [1, 0, 1, 1, 2, 4]
 
 
-def test_slips_are_found_exactly():
-    """Every name within the allowed distance, as a look at the whole list finds it; short names with one swap too."""
-    names = ["falford", "lorport", "mosgate", "ashford", "wexford", "ashwick", "kelville falls", "saint quorwick hills"]
-    index = lo.SlipIndex(names)
-    typed = {x for n in names for k in range(len(n)) for x in (n[:k] + n[k + 1 :], n[: k + 1] + "q" + n[k + 1 :], n[:k] + "q" + n[k + 1 :], n[:k] + n[k : k + 2][::-1] + n[k + 2 :])}
-    typed |= {"flaford", "qaint quorwick hilsl", "aint quorwick hill", "x" * 5000, "q"}
-    for t in typed:
-        assert index(t) == [(i, e) for i, n in enumerate(names) if (e := lo.edit_distance(t, n, lo.slips(t))) <= lo.slips(t)]
-    match = lo.Matcher([(k, n, "Texas", "TX") for k, n in enumerate(names)], [("Texas", "TX")], 0.02)
-    for t, n in [("flaford", "falford"), ("lroport", "lorport"), ("mosagte", "mosgate"), ("ahsford", "ashford"), ("wxeford", "wexford"), ("ahswick", "ashwick")]:
-        assert match(t, None)[0] == names.index(n)
+def one_slip(n):
+    return {x for k in range(len(n)) for x in (n[:k] + n[k + 1 :], n[: k + 1] + "q" + n[k + 1 :], n[:k] + "q" + n[k + 1 :], n[:k] + n[k : k + 2][::-1] + n[k + 2 :])}
+
+
+def test_names_in_reach_equal_brute_force(spark):
+    """Every name within the allowed slips, as a look at the whole list finds it; short names with one swap too."""
+    names = ["falford", "lorport", "mosgate", "ashford", "wexford", "ashwick", "kelville falls", "saint quorwick hills", "banana", "oak"]
+    typed = {x for n in names for x in one_slip(n)} | {"flaford", "qaint quorwick hilsl", "aint quorwick hill", "x" * 5000, "q"} | set(names)
+    df = lambda rows, c: spark.createDataFrame([(x,) for x in sorted(rows)], f"{c} string")
+    got = lo.near_names(df(typed, "city"), df(names, "name"), 0.15).collect()
+    want = {(t, n) for t in typed for n in names if (t == n or t not in names) and lo.edit_distance(t, n, lo.slips(t)) <= lo.slips(t)}
+    assert len(got) == len(want) and {(r.city, r.name) for r in got} == want
+
+
+def test_answers_do_not_depend_on_list_size(spark):
+    """Typed values of a short list mean the same when the list has many other names, in as many partitions as there are."""
+    near = [(k, n, "Texas", "TX") for k, n in enumerate(["Varlow", "Harlow", "Tostead"])]
+    typed = [("Xarlow", None), ("Tosetad", None), ("Varlow, TX", None), ("Tostaed", "TX"), ("Nowhere", None)]
+    rows = spark.createDataFrame(typed, "location string, location_state string")
+    schema = "location_id long, city string, state string, state_code string"
+    many = near + [(100 + k, f"Q{k:05d}zz", "Ohio", "OH") for k in range(3000)]
+    answers = [{(r.location, r.hint): r.location_id for r in lo.map_locations(rows, spark.createDataFrame(x, schema).repartition(n)).collect()} for x, n in ((near, 1), (near, 7), (many, 5))]
+    assert answers[0] == answers[1] == answers[2] == {("Xarlow", None): -1, ("Tosetad", None): 2, ("Varlow, TX", None): 0, ("Tostaed", "TX"): 2, ("Nowhere", None): -1}
 
 
 def test_names():

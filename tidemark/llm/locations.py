@@ -1,9 +1,14 @@
 """Mapping typed locations to a canonical list of cities.
 
-Values are deduplicated, taken apart into a city and a state, and the city is normalised. Candidates are all
-names within the allowed edit distance, found exactly by the strings that deletions leave of both. Those as near
-in letters are ordered by cosine over character n-grams under inverse-frequency weights, with a margin between the
-best two; a state decides among cities of one name. Everything else is reported as unmatched (-1).
+Values are deduplicated, taken apart into a city and a state, and the city is normalised. An inverted index of
+character n-grams gives the candidate names; a candidate is scored by the cosine of n-gram vectors under
+inverse-frequency weights, and accepted above a threshold, with a margin to the next one, if an exact check finds it
+within the typing slips allowed. A state decides among cities of one name. Everything else is reported as
+unmatched (-1).
+
+Retrieval is by joins on n-grams, for lists of any length alike. A slip changes at most three padded 2-grams of what
+was typed (a swap of neighbours), so of any 3 * slips + 1 of them a name in reach has one: the rarest in the list
+are looked up, and frequent n-grams are not expanded.
 """
 
 from __future__ import annotations
@@ -12,22 +17,20 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import durable, spread
+
 # Words that decorate a typed place, and spellings of the two countries.
 DECORATION = ["building", "greater", "area", "metro", "downtown", "hybrid", "onsite", "remote", "flexible", "anywhere", "various", "multiple", "locations", "nationwide", "home", "office", "tbd", "days", "day", "see", "description", "field", "based", "suburb", "suburbs", "region", "near", "north of", "city of", "campus", "headquarters", "hq", "floor", "suite", "unit"]
 COUNTRIES = ["usa", "us", "united states", "united states of america", "u s a", "u s", "can", "canada"]
 SHORT = {"st": "saint", "ste": "saint", "ft": "fort", "mt": "mount"}
 
-#: Reference cities held by one task at once; a longer list is taken in blocks of this many.
-BLOCK = 20_000
-
 
 def plain(s: str) -> str:
     """Lower case, accents off, anything but letters, digits and the separators , - / | ( ) as a blank."""
@@ -124,155 +127,139 @@ def slips(s: str) -> int:
     return 1 if len(s) < 16 else 2
 
 
-def deletions(s: str, most: int) -> set[str]:
-    """What is left of `s` when up to `most` letters are taken out. Strings within that distance share one."""
-    out = last = {s}
-    for _ in range(most):
-        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
-        out = out | last
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def grams(s: str, n: int) -> list[str]:
+    """The n-grams of a name with a blank at either end, one after another. Letters beyond a-z, 0-9 and the blank are
+    one and the same here, so that there are no more than 38 ** n of them."""
+    t = f" {''.join(c if c in _LETTERS else '?' for c in s)} "
+    return [t[i : i + n] for i in range(len(t) - n + 1)]
+
+
+def vector(s: str, names: int, df: dict[str, int]) -> dict[str, float]:
+    """Weights of the 1- to 3-grams of a name, of length 1; an n-gram that the list lacks weighs as one of a single name."""
+    w = {g: n * math.log(1 + names / df.get(g, 1)) for g, n in Counter(g for n in (1, 2, 3) for g in grams(s, n)).items()}
+    norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+    return {g: x / norm for g, x in w.items()}
+
+
+def index_keys(s: str) -> list[tuple[str, int]]:
+    """What a name is looked up by: its 2-grams, each with the number of times it came before. A name of up to 3 letters
+    can lose all of them by one swap and is looked up by its letters besides."""
+    seen: Counter = Counter()
+    out = []
+    for g in grams(s, 2) + ([x for x in grams(s, 1) if x != " "] if len(s) <= 4 else []):
+        out.append((g, seen[g]))
+        seen[g] += 1
     return out
 
 
-class SlipIndex:
-    """The names of a list within the edit distance allowed from a typed name, none left out."""
+def _keys(rarest: Callable[[str], list[tuple[str, int]]]):
+    """Names to (name, g, k): `rarest` of their index keys, and the name itself under "=" for equal ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(s, g, k) for s in b.column(0).to_pylist() for g, k in [*rarest(s), ("=" + s, 0)]]
+            cols = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32()))], names=["name", "g", "k"])
+
+    return run
 
-    def __init__(self, names: list[str]):
-        self.names, self.longest = names, max(map(len, names), default=0)
-        self.left: dict[str, list[int]] = {}
-        for i, n in enumerate(names):
-            # typed names that allow two slips have 16 letters or more, so the listed one has 14 or more
-            for x in deletions(n, 2 if len(n) >= 14 else 1):
-                self.left.setdefault(x, []).append(i)
 
-    def __call__(self, typed: str) -> list[tuple[int, int]]:
-        """(index of the name, distance)."""
-        most = slips(typed)
-        if len(typed) > self.longest + most:
+def near_names(typed: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """(city, name, score) for each typed city and each listed name in reach, equal names scoring 1.
+
+    typed: city; names: name; both distinct. What all tasks hold is the number of names of each n-gram, of which there
+    are at most 38 + 38 ** 2 + 38 ** 3.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = Counter(g for s in b.column(0).to_pylist() for g in {g for n in (1, 2, 3) for g in grams(s, n)} | {"=", f"#{len(s)}"})
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["g", "n"])
+
+    df = {r.g: r.n for r in names.mapInArrow(counted, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    n = df.pop("=", 0)
+    longest = max((int(g[1:]) for g in df if g[0] == "#"), default=0)
+
+    def rarest(s: str) -> list[tuple[str, int]]:
+        if len(s) > longest + slips(s):
             return []
-        found = {i for x in deletions(typed, most) for i in self.left.get(x, ())}
-        return [(i, e) for i in sorted(found) if (e := edit_distance(typed, self.names[i], most)) <= most]
-
-
-def char_grams(s: str) -> Counter:
-    """Padded 2- and 3-grams."""
-    t = f" {s} "
-    return Counter(t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1))
-
-
-class GramIndex:
-    """Inverted index from n-grams to the distinct names of a list, with normalised tf-idf weights."""
-
-    def __init__(self, names: list[str]):
-        self.names = names
-        tf = [char_grams(n) for n in names]
-        df = Counter(g for c in tf for g in c)
-        self.idf = {g: math.log(1 + len(names) / n) for g, n in df.items()}
-        self.rare = math.log(1 + len(names))
-        post: dict[str, list[tuple[int, float]]] = {}
-        for i, c in enumerate(tf):
-            norm = math.sqrt(sum((n * self.idf[g]) ** 2 for g, n in c.items())) or 1.0
-            for g, n in c.items():
-                post.setdefault(g, []).append((i, n * self.idf[g] / norm))
-        self.post = {g: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for g, p in post.items()}
-
-    def scores(self, s: str) -> np.ndarray:
-        c = char_grams(s)
-        w = {g: n * self.idf.get(g, self.rare) for g, n in c.items()}
-        norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
-        out = np.zeros(len(self.names))
-        for g, x in w.items():
-            if g in self.post:
-                i, y = self.post[g]
-                out[i] += x / norm * y
-        return out
-
-
-class Matcher:
-    """Names the reference entry that a (location, hint) pair means; see map_locations for the rules."""
-
-    def __init__(self, entries: list[tuple[int, str, str, str]], states: list[tuple[str, str]], margin: float):
-        self.parse = Parser(states)
-        by: dict[str, list[tuple[str | None, int]]] = {}
-        for i, city, state, _ in entries:
-            by.setdefault(city_form(city), []).append((state, i))
-        self.by, self.index, self.slips = by, GramIndex(sorted(by)), SlipIndex(sorted(by))
-        self.margin = margin
-        self.near = lru_cache(200_000)(self._near)
-
-    def _near(self, city: str) -> tuple[tuple[str, int, float], ...]:
-        """Candidate names with their edit distance and cosine: those within the distance that the typed length allows."""
-        if city in self.by:
-            return ((city, 0, 1.0),)
-        found = self.slips(city)
-        if not found:
-            return ()
-        s = self.index.scores(city)
-        out = [(self.index.names[i], e, float(s[i])) for i, e in found]
-        return tuple(sorted(out, key=lambda x: (x[1], -x[2], x[0])))
-
-    def __call__(self, typed: str, hint: str | None) -> tuple[int, float, str, str | None]:
-        """(location_id or -1, score, city as read, state used)."""
-        city, state = self.parse(typed)
-        if not city:
-            return -1, 0.0, city, state
-        hinted = state or self.parse.state(hint)
-        near = self.near(city)
-        if state:
-            near = tuple(n for n in near if any(s == state for s, _ in self.by[n[0]]))
-        elif hinted and len(near) > 1:
-            near = tuple(n for n in near if any(s == hinted for s, _ in self.by[n[0]])) or near
-        if not near:
-            return -1, 0.0, city, hinted
-        name, e, score = near[0]
-        if len(near) > 1 and near[1][1] == e and score - near[1][2] < self.margin:
-            return -1, score, city, hinted
-        entries = self.by[name]
-        if len(entries) > 1 or state:
-            entries = [x for x in entries if x[0] == hinted]
-        return (entries[0][1], score, city, hinted) if len(entries) == 1 else (-1, score, city, hinted)
-
-
-def map_locations(
-    rows: DataFrame, ref: DataFrame, *, location: str = "location", hint: str = "location_state", margin: float = 0.02, block: int = BLOCK
-) -> DataFrame:
+        keys = sorted(index_keys(s), key=lambda x: (df.get(x[0], 0), x))
+        return [x for x in keys[: 3 * slips(s) + 1 if len(s) > 3 else None] if x[0] in df]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = lru_cache(20_000)(lambda s: vector(s, n, df))
+        for b in batches:
+            out = []
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if x == y:
+                    out.append(1.0)
+                    continue
+                v, w = vectors(x), vectors(y)
+                cosine = min(0.999999, sum(a * w[g] for g, a in v.items() if g in w))
+                out.append(cosine if cosine >= threshold and edit_distance(x, y, slips(x)) <= slips(x) else None)
+            b = pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=["city", "name", "score"])
+            yield b.filter(b.column(2).is_valid())
+
+    left = typed.mapInArrow(_keys(rarest), "city string, g string, k int")
+    right = names.mapInArrow(_keys(index_keys), "name string, g string, k int")
+    pairs = left.join(right, ["g", "k"]).select("city", "name")
+    return spread(pairs.distinct(), "city", "name").mapInArrow(score, "city string, name string, score double")
+
+
+def _parse(states: list[tuple[str, str]]):
+    """(location, hint, uses) with the city typed, the state typed and the state that decides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parse = Parser(states)
+        for b in batches:
+            got = [(c, s, s or parse.state(h)) for (c, s), h in zip(map(parse, b.column(0).to_pylist()), b.column(1).to_pylist())]
+            cols = list(zip(*got)) if got else [[]] * 3
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, pa.string()) for c in cols]], names=["location", "hint", "uses", "city", "stated", "state"])
+
+    return run
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(city_form, b.column(2).to_pylist())), pa.string())], names=["location_id", "entry_state", "name"])
+
+
+def map_locations(rows: DataFrame, ref: DataFrame, *, location: str = "location", hint: str = "location_state", threshold: float = 0.15, margin: float = 0.02) -> DataFrame:
     """A row per distinct (location, hint): location, hint, location_id (-1 if unmatched), score, city, state, uses.
 
-    An exact normalised name scores 1. Otherwise all names one typing slip away (two if 16 letters or more are
-    typed) are looked at, and the nearest is taken unless another is as near in letters and within `margin` in
-    weighted cosine. A state written in the
-    location must be the entry's; the hint decides only between entries that the location leaves open.
+    An exact normalised name scores 1 and is taken. Otherwise the name of the greatest weighted cosine is, if that
+    reaches `threshold`, leads the next name in reach by `margin`, and lies within one typing slip (two if 16
+    letters or more are typed). A state written in the location must be the entry's: names without an entry there
+    are no candidates. A hint prefers
+    names that have an entry in its state, and decides between entries of one name.
 
     ref: location_id, city, state, state_code. Defined cases: null and blank locations are left out; a null or
     unreadable hint is no hint; entries with a null id or city are ignored; repeated list entries count once; an
-    empty list leaves everything unmatched. Lists above `block` names are matched block by block, the best
-    block winning by score, a tie of two blocks being ambiguous. Columns not named are not read.
+    empty list leaves everything unmatched; a typed name that shares no n-gram with a listed one is no candidate.
+    Columns not named are not read.
     """
     ref = ref.select(F.col("location_id").cast("long").alias("location_id"), "city", "state", "state_code").filter("location_id is not null and city is not null").distinct()
-    blocks = max(1, math.ceil(ref.count() / block))
     states = [(r.state, r.state_code) for r in ref.select("state", "state_code").distinct().collect()]  # states of the list's countries
+    entries = ref.select("location_id", "state", "city").mapInArrow(_forms, "location_id long, entry_state string, name string").filter("name <> ''").distinct()
     values = rows.select(F.col(location).alias("location"), F.col(hint).alias("hint")).filter(F.trim("location") != "").groupBy("location", "hint").agg(F.count("*").alias("uses"))
-    schema = "location string, hint string, uses long, location_id long, score double, city string, state string"
-
-    def matcher(entries):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            match = Matcher(entries, states, margin)
-            for b in batches:
-                got = [match(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-                cols = list(zip(*got)) if got else [[]] * 4
-                types = [pa.int64(), pa.float64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, t) for c, t in zip(cols, types)]], names=["location", "hint", "uses", "location_id", "score", "city", "state"])
-
-        return run
-
-    values = values.repartition("location", "hint") if blocks > 1 else values
-    found = None
-    for k in range(blocks):
-        part = ref.filter(F.pmod(F.xxhash64("city"), F.lit(blocks)) == k)
-        entries = [tuple(r) for r in part.collect()]  # at most about `block` entries
-        one = values.mapInArrow(matcher(entries), schema)
-        found = one if found is None else found.unionByName(one)
-    if blocks == 1:
-        return found
-    best = found.groupBy("location", "hint", "uses").agg(F.max(F.struct("score", "location_id", "city", "state")).alias("m"), F.sort_array(F.collect_list("score"), asc=False).alias("all"))
-    tied = (F.col("all")[0] == F.col("all")[1]) & (F.col("m.score") > 0)
-    return best.select("location", "hint", "uses", F.when(tied, F.lit(-1).cast("long")).otherwise(F.col("m.location_id")).alias("location_id"), "m.score", "m.city", "m.state")
+    values = durable(spread(values, "location", "hint").mapInArrow(_parse(states), "location string, hint string, uses long, city string, stated string, state string"), "values")
+    near = near_names(values.select("city").filter("city <> ''").distinct(), entries.select("name").distinct(), threshold)
+
+    there = F.col("entry_state") == F.col("state")
+    each = values.join(near, "city", "left").join(entries, "name", "left").groupBy("location", "hint", "uses", "city", "stated", "state", "name").agg(
+        F.max("score").alias("score"), F.count("location_id").alias("entries"), F.max("location_id").alias("any"), F.count(F.when(there, 1)).alias("fitting"), F.max(F.when(there, F.col("location_id"))).alias("fits")
+    )
+    w = Window.partitionBy("location", "hint")
+    each = each.withColumn("equal", F.max(F.coalesce(F.col("score") == 1, F.lit(False))).over(w))
+    each = each.withColumn("some", F.max((F.col("fitting") > 0) & (~F.col("equal") | (F.col("score") == 1))).over(w))
+    # names that are left: an equal one alone; with a state written down, and with a hint that one of them meets, those of that state
+    left = (~F.col("equal") | (F.col("score") == 1)) & ((F.col("stated").isNull() & ~(F.col("state").isNotNull() & F.col("some"))) | (F.col("fitting") > 0))
+    each = each.withColumn("score", F.when(left, F.col("score")))
+    best = w.orderBy(F.col("score").desc_nulls_last(), "name")
+    each = each.withColumns({"place": F.row_number().over(best), "next": F.lead("score").over(best)}).filter("place = 1")
+    one = F.when((F.col("entries") > 1) | F.col("stated").isNotNull(), F.when(F.col("fitting") == 1, F.col("fits"))).otherwise(F.col("any"))
+    clear = F.col("score").isNotNull() & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin))
+    return each.select("location", "hint", "uses", F.coalesce(F.when(clear, one), F.lit(-1)).cast("long").alias("location_id"), F.coalesce("score", F.lit(0.0)).alias("score"), "city", "state")
