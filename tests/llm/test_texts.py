@@ -57,8 +57,8 @@ def test_overlaps_equal_brute_force(spark):
     it = spark.createDataFrame([*items, (50, None), (51, "")], "item_id long, text string")
     want = {(d, i) for d, t in docs for i, u in items if d is not None and longest_common(W.plain_words(t), W.plain_words(u)) >= 13}
     assert want
-    for bound in (10**6, 0):
-        got = con.tile_overlaps(df, it, seed=13, broadcast_seeds=bound).select("doc_id", "item_id").collect()
+    for bound in (10**6, 100):
+        got = con.tile_overlaps(df, it, seed=13, slice_seeds=bound).select("doc_id", "item_id").collect()
         assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert con.tile_overlaps(df.limit(0), it).count() == 0 and con.tile_overlaps(df, it.limit(0)).count() == 0
 
@@ -66,9 +66,9 @@ def test_overlaps_equal_brute_force(spark):
 def test_reordered_passages(spark):
     item = [f"w{k}" for k in range(40)]
     doc = item[20:] + ["x"] * 3 + item[:20]
-    found = con.tiles(doc, item, 6)
+    found = con.tiles(" ".join(doc), " ".join(item), 6)
     assert sorted(n for _, _, n in found) == [20, 20]
-    assert con.tiles(["a"] * 50, ["a"] * 20, 6) == [(0, 0, 20)]
+    assert con.tiles("a " * 50, "a " * 20, 6) == [(0, 0, 20)]
     df = spark.createDataFrame([(1, " ".join(doc)), (2, " ".join(item[:10]))], "doc_id long, text string")
     got = con.leaked(df, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
     assert [(r.doc_id, r.n_tiles, r.coverage) for r in got] == [(1, 2, 1.0)]

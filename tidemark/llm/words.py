@@ -73,10 +73,10 @@ def window_hashes(ids: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
         h = np.zeros(n, np.uint64)
         for i in range(k):  # Horner's rule: the Karp-Rabin value of each window, modulo 2**64
             h = h * MIX + ids[i : i + n]
-    inside = np.ones(n, bool)
-    for cut in offsets[1:-1]:
-        inside[max(0, cut - k + 1) : cut] = False
-    at = np.nonzero(inside)[0]
+    # the next cut after a window's first word must not come before its end
+    sizes = np.diff(offsets)
+    left = np.repeat(offsets[1:], sizes) - np.arange(len(ids))
+    at = np.nonzero(left[:n] >= k)[0]
     return mixed(h[at]), at
 
 
