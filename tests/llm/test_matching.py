@@ -122,20 +122,58 @@ def test_plan():
     assert mx.plan({}, {"a": (1.0, 1)}) == (0, 1.0, {})
 
 
-def test_temperature():
-    a, w = mx.temperature({"x": 900, "y": 100}, max_repeats=2, total=1000)
-    assert abs(w["y"] - 0.2) < 1e-6
-    a, w = mx.temperature({"x": 900, "y": 100}, entropy=0.5)
-    assert abs(-sum(p * __import__("math").log(p) for p in w.values()) - 0.5) < 1e-6
-    assert mx.temperature({})[1] == {}
+def test_exponent_solved_independently():
+    """The exponent is the last point of a fine grid at which every source stays within its limit."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        tokens = {f"s{k}": int(x) for k, x in enumerate(rng.integers(10, 10**6, 6))}
+        shares = rng.dirichlet(np.ones(6))
+        targets = {f"s{k}": (float(shares[k]), int(rng.integers(1, 5))) for k in range(6)}
+        total = sum(tokens.values())
+        size, a, w = mx.plan(tokens, targets, total=total)
+        grid = np.linspace(0, 1, 20_001)[:, None]
+        s, q, r = (np.array([f(k) for k in tokens]) for f in (lambda k: tokens[k], lambda k: targets[k][0], lambda k: targets[k][1]))
+        raw = (s / s.sum()) ** (1 - grid) * q**grid
+        fits = (raw / raw.sum(1, keepdims=True) * total <= r * s * (1 + 1e-9)).all(1)
+        assert abs(a - grid[np.nonzero(fits)[0][-1], 0]) < 1e-4 and size <= total
+        assert all(w[k] * size <= targets[k][1] * tokens[k] * (1 + 1e-9) for k in tokens)
+
+
+def test_entropy():
+    tokens, targets = {"x": 900, "y": 100}, {"x": (0.5, 2), "y": (0.5, 2)}
+    _, a, w = mx.plan(tokens, targets, entropy=0.5)
+    assert abs(mx.entropy_of(w) - 0.5) < 1e-6 and 0 < a < 1
+    _, a, w = mx.plan(tokens, targets, entropy=0.2)
+    assert abs(mx.entropy_of(w) - 0.2) < 1e-6 and a > 1
+    assert mx.plan({}, targets, entropy=0.5) == (0, 1.0, {})
+
+
+@pytest.mark.parametrize("name", ["p9_mix_report", "p9_tempered_report", "p9_entropy_report"])
+def test_mixture_reports(spark, name):
+    """Every share within one document of its weight, no document over its limit, the exponent where the size puts it."""
+    from tidemark.llm import queries as q
+
+    rows = [r for r in q.QUERIES[name](spark, "/root/testdata/sf0.01").collect()]
+    used = [r for r in rows if r.weight > 0]
+    assert len(rows) == 12 and len(used) > 5 and abs(sum(r.weight for r in used) - 1) < 1e-9
+    for r in used:
+        assert 0 <= r.budget_tokens - r.drawn_tokens < 5000 and r.most_repeats <= r.max_repeats
+        assert r.drawn_tokens <= r.max_repeats * r.tokens_available
+    exponent, = {r.exponent for r in rows}
+    assert exponent == 1 if name == "p9_mix_report" else 0 < exponent < 1 if name == "p9_tempered_report" else exponent > 0
+    if name == "p9_mix_report":
+        z = sum(r.target_share for r in used)
+        assert all(abs(r.actual_share - r.target_share / z) < 0.01 for r in used)
 
 
 def test_mix(spark):
     docs = [(i, "A " if i % 2 else "a", 10, "p") for i in range(60)] + [(1000 + i, "b-c", 7, "p") for i in range(300)] + [(5000, None, 5, "p"), (None, "a", 5, "p"), (5001, "a", None, "p"), (5002, "zzz", 9, "p")]
     df = spark.createDataFrame(docs, "doc_id long, source string, tokens long, block string")
     t = spark.createDataFrame([("a", 0.5, 3), ("B_C", 0.5, 1), ("none", 0.1, 2), (None, 0.3, 1), ("zzz", None, 2)], "source string, target_share double, max_repeats int")
-    for ranges in (1024, 2):
-        drawn, report = mx.mix(df, t, ranges=ranges)
+    for docs_a_range in (20_000, 2):
+        drawn, report = mx.mix(df, t, range_docs=docs_a_range)
         rows = drawn.collect()
         uses = {}
         for r in rows:
@@ -152,4 +190,4 @@ def test_mix(spark):
 
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world", 9), (2, None, 9), (3, "", 9)], "doc_id long, text string, tokens int")
-    assert sorted(tuple(r) for r in mx.token_counts(df).select("doc_id", "tokens").collect()) == [(1, 2), (2, 0), (3, 0)]
+    assert sorted(tuple(r) for r in mx.token_counts(df, "/opt/tokenizers/byte_bpe_50k.tiktoken").select("doc_id", "tokens").collect()) == [(1, 2), (2, 0), (3, 0)]

@@ -1,10 +1,10 @@
 """Mixing sources to target weights.
 
 Shares. Let s be the sources' own token shares and q the wanted ones. The tempered weights are
-w(a) ~ s^(1-a) * q^a: a = 0 leaves the corpus as it is, a = 1 is the target. With a given total size the
-largest a in [0, 1] whose weights keep every source within max_repeats is found by bisection; without one the
-size is the largest at which a = 1 holds, so that the shares are the targets. temperature() is the plain form
-without targets: w ~ s^a, with a bisected to a wanted entropy.
+w(a) ~ s^(1-a) * q^a: a = 0 leaves the corpus as it is, a = 1 is the target. The exponent is the largest in [0, 1] whose
+weights keep every source within max_repeats at the total size, found by bisection. Without a size it is that of the
+largest mixture with a = 1, so that the shares are the targets. With a wanted entropy the targets are left aside:
+w(a) ~ s^a, with a bisected to that entropy.
 
 Realisation. A source with budget t and tokens c is repeated floor(t / c) whole blocks, each a permutation of
 all its documents (order by a seeded hash of block and document), and one last block cut where the budget is
@@ -16,19 +16,18 @@ from __future__ import annotations
 
 import base64
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Word pattern of the public byte-level vocabulary; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def token_counts(docs: DataFrame, text: str = "text", path: str = TOKENIZER, out: str = "tokens") -> DataFrame:
-    """`docs` without the text and with the number of tokens of its whole text; null text has 0."""
+def token_counts(docs: DataFrame, path: str, text: str = "text", out: str = "tokens") -> DataFrame:
+    """path: the tokenizer's vocabulary file, readable on every executor. `docs` without the text and with the number of tokens of its whole text; null text has 0."""
     keep = [f for f in docs.schema.fields if f.name not in (text, out)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"`{out}` long"])
 
@@ -60,53 +59,63 @@ def _bisect(f: Callable[[float], bool], lo: float, hi: float) -> float:
     return lo
 
 
-def temperature(tokens: dict[str, float], entropy: float | None = None, total: float | None = None, max_repeats: float | None = None) -> tuple[float, dict[str, float]]:
-    """Exponent a in [0, 1] and weights ~ share^a. The smallest a (the flattest mixture) whose entropy in nats is at most
-    `entropy`, if given, and whose weights at `total` tokens repeat no source beyond `max_repeats`, if given."""
-    have = {k: v for k, v in tokens.items() if v > 0}
-    if not have:
-        return 1.0, {}
-    size = sum(have.values())
+def _last_within(excess: Sequence[Callable[[float], float]]) -> float:
+    """The largest point of [0, 1] at which no function is above 0; 0 if there is none. Each is concave, so that it is above 0
+    on one stretch, whose ends are bisected on either side of its peak."""
+    stretches = []
+    for g in excess:
+        lo, hi = 0.0, 1.0
+        for _ in range(100):  # ternary search for the peak
+            x, y = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+            lo, hi = (x, hi) if g(x) < g(y) else (lo, y)
+        peak = max((0.0, 1.0, lo), key=g)
+        if g(peak) > 0:
+            stretches.append((-1.0 if g(0.0) > 0 else _bisect(lambda a: g(a) <= 0, 0.0, peak), 2.0 if g(1.0) > 0 else 1 - _bisect(lambda b: g(1 - b) <= 0, 0.0, 1 - peak)))
+    a = 1.0
+    while over := [lo for lo, hi in stretches if lo < a < hi]:
+        a = min(over)
+    return max(a, 0.0)
 
-    def weights(a: float) -> dict[str, float]:
-        raw = {k: (v / size) ** a for k, v in have.items()}
-        z = sum(raw.values())
-        return {k: v / z for k, v in raw.items()}
 
-    def fits(a: float) -> bool:
-        w = weights(a)
-        low = entropy is None or -sum(x * math.log(x) for x in w.values() if x > 0) <= entropy
-        return low and (max_repeats is None or all(w[k] * (total or size) <= max_repeats * have[k] * (1 + 1e-12) for k in have))
+def entropy_of(weights: dict[str, float]) -> float:
+    """In nats."""
+    return 0.0 - sum(w * math.log(w) for w in weights.values() if w > 0)
 
-    a = 1 - _bisect(lambda b: fits(1 - b), 0.0, 1.0)
-    return a, weights(a)
 
+def plan(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None, entropy: float | None = None) -> tuple[int, float, dict[str, float]]:
+    """Total size, exponent and weight of each target source that has tokens; see the head of the module.
 
-def plan(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> tuple[int, float, dict[str, float]]:
-    """Total size, exponent and weight of each target source that has tokens; see the head of the module."""
+    The entropy of s^a falls from that of equal shares (a = 0); one that no exponent up to 16 reaches gives the nearest.
+    A total that the limits forbid even at the exponent found is cut to what they allow."""
     have = {k: tokens.get(k, 0) for k, (q, r) in targets.items() if q and q > 0 and r and r > 0 and tokens.get(k, 0) > 0}
     if not have:
         return 0, 1.0, {}
     s, q = sum(have.values()), sum(targets[k][0] for k in have)
 
     def weights(a: float) -> dict[str, float]:
-        raw = {k: (c / s) ** (1 - a) * (targets[k][0] / q) ** a for k, c in have.items()}
+        raw = {k: (c / s) ** a if entropy is not None else (c / s) ** (1 - a) * (targets[k][0] / q) ** a for k, c in have.items()}
         z = sum(raw.values())
         return {k: v / z for k, v in raw.items()}
 
     limit = lambda w: min(targets[k][1] * c / w[k] for k, c in have.items())
-    if total is None:
-        return int(limit(weights(1.0))), 1.0, weights(1.0)
-    a = _bisect(lambda x: limit(weights(x)) >= total, 0.0, 1.0)
-    return min(total, int(limit(weights(a)))), a, weights(a)
-
-
-def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed: int = 17, ranges: int = 1024) -> tuple[DataFrame, DataFrame]:
+    if entropy is not None:
+        a = _bisect(lambda x: entropy_of(weights(x)) >= entropy, 0.0, 16.0)
+    else:
+        size = limit(weights(1.0)) if total is None else total
+        over = lambda k: lambda x: math.log(weights(x)[k] * size / (targets[k][1] * have[k])) - 1e-12
+        a = _last_within([over(k) for k in have])
+    w = weights(a)
+    most = int(limit(w) * (1 + 1e-9))  # the exponent is bisected to rounding
+    return most if total is None else min(total, most), a, w
+
+
+def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, epochs: float | None = None, entropy: float | None = None, seed: int = 17, range_docs: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(drawn, report). docs: doc_id, source, tokens; targets: source, target_share, max_repeats.
 
+    The size is `total` tokens, or `epochs` times the tokens of the listed sources; `entropy` in nats is that of plan().
     drawn has doc_id, source, tokens, block (1 for a document's first use): each document of a listed source at
-    most max_repeats times. report has a row per listed source: docs, tokens_available, target_share, weight,
-    budget_tokens, drawn_tokens, actual_share, most_repeats; targets are one row per source by contract, and
+    most max_repeats times. report has a row per listed source: docs, tokens_available, target_share, weight, exponent and
+    entropy of the mixture, budget_tokens, drawn_tokens, actual_share, most_repeats; targets are one row per source by contract, and
     the number of sources is what the driver holds.
 
     Defined cases: a source with no tokens, or with a null or non-positive share or limit, draws nothing and its
@@ -121,8 +130,11 @@ def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     d = docs.select("doc_id", clean_source("source").alias("source"), F.col("tokens").cast("long").alias("tokens")).filter("doc_id is not null and tokens > 0")
     d = d.join(F.broadcast(t.select("source")), "source", "left_semi")  # one row per listed source
     held = {r.source: (r.tokens, r.docs) for r in d.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).collect()}
-    size, _, weights = plan({k: v[0] for k, v in held.items()}, wanted, total)
-    budget = {k: int(w * size) for k, w in weights.items()}
+    if epochs is not None:
+        total = int(epochs * sum(v[0] for v in held.values()))
+    size, exponent, weights = plan({k: v[0] for k, v in held.items()}, wanted, total, entropy)
+    ranges = max(64, -(-max((v[1] for v in held.values()), default=0) // range_docs))  # a range is what one task ranks
+    budget = {k: min(int(w * size), wanted[k][1] * held[k][0]) for k, w in weights.items()}
     blocks = [(k, b, min(held[k][0], budget[k] - (b - 1) * held[k][0])) for k in budget for b in range(1, -(-budget[k] // held[k][0]) + 1) if budget[k]]
     blocks = spark.createDataFrame(blocks, "source string, block int, block_budget long")
 
@@ -140,8 +152,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     drawn = whole.select(*cols).unionByName(cut.select(*cols))
 
     rep = spark.createDataFrame(
-        [(k, float(q or 0), int(r or 0), *(held.get(k, (0, 0))), weights.get(k, 0.0), budget.get(k, 0)) for k, (q, r) in wanted.items()],
-        "source string, target_share double, max_repeats int, tokens_available long, docs long, weight double, budget_tokens long",
+        [(k, float(q or 0), int(r or 0), *(held.get(k, (0, 0))), weights.get(k, 0.0), exponent, entropy_of(weights), budget.get(k, 0)) for k, (q, r) in wanted.items()],
+        "source string, target_share double, max_repeats int, tokens_available long, docs long, weight double, exponent double, entropy double, budget_tokens long",
     )
     got = drawn.groupBy("source").agg(F.sum("tokens").alias("drawn_tokens"), F.count("*").alias("draws"), F.max("block").alias("most_repeats"))
     all_tokens = F.sum("drawn_tokens").over(Window.partitionBy())  # over one row per source
