@@ -36,7 +36,7 @@ def items(spark, baskets):
 
 
 def state(counts):
-    return {(r.a, r.b): r.n_ab for r in counts.pairs().collect()}, {r.item: r.n for r in counts.items().collect()}, counts.total().first().n
+    return {(r.a, r.b): r.n_ab for r in counts.pairs().collect()}, {r.item: r.n for r in counts.items().collect()}, counts.baskets()
 
 
 def test_incremental_equals_recount(spark):
@@ -54,23 +54,31 @@ def test_incremental_equals_recount(spark):
     s = {(r.a, r.b): r.lift for r in counts.scores().collect()}
     assert abs(s["a", "b"] - 2 * 4 / (3 * 2)) < 1e-9
     before = state(counts)
-    counts.compact()
-    assert state(counts) == before and len(counts._segments) == 1
+    counts.clean()
+    assert state(counts) == state(co.PairCounts(spark, counts.path)) == before
 
 
 def test_opened_again(spark):
-    """A table opened again has its counts, takes an update on top of them, and is compacted for all."""
+    """A table opened again has its counts and takes an update on top of them; one that was cut off leaves no trace."""
     old, new = {"1": {"a", "b"}, "2": {"a", "b", "c"}}, {"2": {"a", "c"}}
     path = new_path(spark, "t")
-    first = co.PairCounts(spark, path)
-    first.update(items(spark, old))
+    co.PairCounts(spark, path, buckets=5).update(items(spark, old))
     again = co.PairCounts(spark, path)
-    assert state(again) == brute(old)
-    again.update(items(spark, new), items(spark, {"2": old["2"]}))
-    assert state(co.PairCounts(spark, path)) == brute({**old, **new})
-    first.compact()
-    third = co.PairCounts(spark, path)
-    assert len(third._segments) == 1 and state(third) == brute({**old, **new})
+    assert state(again) == brute(old) and again._state["buckets"] == 5
+    again._publish = lambda state: None
+    again.update(items(spark, {"1": set(), "9": {"x", "y"}}), items(spark, {"1": old["1"]}))
+    assert state(co.PairCounts(spark, path)) == brute(old)
+    co.PairCounts(spark, path).update(items(spark, new), items(spark, {"2": old["2"]}))
+    last = co.PairCounts(spark, path)
+    assert state(last) == brute({**old, **new}) and last._state["version"] == 1
+
+
+def test_only_touched_buckets_are_written(spark):
+    baskets = {str(k): {f"i{k}", f"j{k}"} for k in range(40)}
+    counts = co.PairCounts(spark, new_path(spark, "t"), buckets=16)
+    counts.update(items(spark, baskets))
+    counts.update(items(spark, {"new": {"i1", "j1"}}))
+    assert sorted(counts._state["at"]["pairs"].values()).count(1) == 1 and state(counts)[0]["i1", "j1"] == 2
 
 
 def test_large_baskets_in_blocks(spark):
@@ -87,4 +95,4 @@ def test_blank_and_empty(spark):
     none = co.PairCounts(spark, new_path(spark, "t"))
     assert none.scores().count() == 0
     none.update(co.basket_items(df.limit(0), ["b"], F.col("i")))
-    assert none.scores().count() == 0 and none.total().first().n == 0
+    assert none.scores().count() == 0 and none.baskets() == 0

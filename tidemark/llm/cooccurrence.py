@@ -1,11 +1,12 @@
 """Items that appear together: persistent pair counts kept by signed deltas.
 
-State is a log of segments per table, each hash-bucketed by its key. An update compares the old and new
-item set of every basket named in a change, and writes +1/-1 for the pairs, items and baskets that the change
-adds or takes away; readers sum the segments of a bucket; compact() folds them into one. A segment is named
-by its number and is overwritten whole, so an update that was cut off is simply run again. Which segments count
-is said by the last manifest in the folder, written after the segment, so a table can be opened again by any
-session. One writer at a time.
+State is three tables under a folder: counts of pairs and of items, hash-bucketed by item, and the number of baskets. An
+update compares the old and new item set of every basket named in a change, and emits +1/-1 for the pairs, items
+and baskets that the change adds or takes away. The summed deltas are merged into the buckets they fall in: those are
+written anew in a folder of the update's version, all others stay where they are, so a reader takes each count from
+one file and sums nothing. Which version of each bucket counts is said by the last manifest, written after the
+buckets, so a table can be opened again by any session and an update that was cut off leaves no trace. The delta of the
+last update is kept beside the counts, for the scores that it moved. One writer at a time.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import durable
+
 #: Baskets up to this many distinct items expand in one row; larger ones in blocks of about this size.
 BLOCK = 256
 
@@ -37,12 +40,17 @@ def pairs_of(items: DataFrame, carry: Sequence[str] = (), block: int = BLOCK) ->
     """(a, b, *carry) for each pair of items of each basket of (basket, item, *carry), carry being constant in a basket.
 
     No task holds a basket of more than `block` items: a larger one is cut into blocks by item hash, and
-    each pair of blocks is expanded by itself.
+    each pair of blocks is expanded by itself. `items` is read more than once and should be written down.
     """
-    sizes = items.groupBy("basket").agg(F.count("*").alias("n"))
-    big = sizes.filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    small = items.join(big, "basket", "left_anti").groupBy("basket", *carry).agg(F.array_sort(F.collect_list("item")).alias("s"))
-    near = small.select(*carry, F.explode(F.expr(_array_pairs("s"))).alias("p"))
+    big = durable(items.groupBy("basket").agg(F.count("*").alias("n")).filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "big-baskets")
+    if big.isEmpty():
+        small = items
+    else:
+        small = items.join(big, "basket", "left_anti")
+    near = small.groupBy("basket", *carry).agg(F.array_sort(F.collect_list("item")).alias("s")).select(*carry, F.explode(F.expr(_array_pairs("s"))).alias("p"))
+    near = near.select("p.a", "p.b", *carry)
+    if big.isEmpty():
+        return near
     chunks = (
         items.join(big, "basket")
         .withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
@@ -53,75 +61,86 @@ def pairs_of(items: DataFrame, carry: Sequence[str] = (), block: int = BLOCK) ->
     other = chunks.select(F.col("basket").alias("b2"), F.col("chunk").alias("c2"), F.col("s").alias("s2"))
     both = chunks.join(other, F.col("basket").eqNullSafe(F.col("b2")) & (F.col("chunk") < F.col("c2")))
     across = both.select(*carry, F.explode(F.expr("flatten(transform(s, x -> transform(s2, y -> struct(least(x, y) AS a, greatest(x, y) AS b))))")).alias("p"))
-    return near.unionByName(within).unionByName(across).select("p.a", "p.b", *carry)
+    return near.unionByName(within.unionByName(across).select("p.a", "p.b", *carry))
 
 
 class PairCounts:
-    """Counts of baskets, items and item pairs under a folder that all executors share."""
+    """Counts of baskets, items and item pairs under a folder that all executors share. The number of buckets is fixed when
+    the table is made."""
+
+    KEYS = {"pairs": ["a", "b"], "items": ["item"]}
+    SCHEMA = {"pairs": "a string, b string, n long", "items": "item string, n long"}
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._version, self._segments = self._last()
-
-    SCHEMA = {"pairs": "a string, b string, n long", "items": "item string, n long", "total": "n long"}
+        self._state = {"version": -1, "baskets": 0, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "at": {"pairs": {}, "items": {}}}
+        self._open()
 
     def _at(self, name: str):
         p = self._hadoop.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _last(self) -> tuple[int, list[int]]:
-        """Version and segments of the last manifest, named `version` or `version-segment-segment-...`; -1 if there is none."""
+    def _versions(self) -> list[int]:
         p, fs = self._at("manifest")
-        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-        found = [[int(x) for x in n.split("-")] for n in names]
-        version, *segments = max(found, default=[-1])
-        return version, segments
-
-    def _publish(self, segments: list[int]) -> None:
-        """A manifest is an empty file whose name says all, so it is there whole or not at all."""
-        p, fs = self._at("manifest/" + "-".join(map(str, [self._version + 1, *segments])))
-        if not fs.createNewFile(p):
-            raise RuntimeError(f"{p} is there already: another writer?")
-        old, (folder, fs) = self._version, self._at("manifest")
-        self._version, self._segments = old + 1, segments
-        for f in fs.listStatus(folder):
-            if int(f.getPath().getName().split("-")[0]) <= old:
-                fs.delete(f.getPath(), False)
-
-    def _write(self, deltas: dict[str, DataFrame], segment: int) -> None:
-        for name, df in deltas.items():
-            key = {"pairs": ["a", "b"], "items": ["item"], "total": []}[name]
-            if key:
-                df = df.repartition(self.buckets, *key)
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}/segment={segment}")
-
-    def _read(self, name: str) -> DataFrame:
-        if not self._segments:
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()) if fs.exists(p) else []
+
+    def _open(self) -> None:
+        if versions := self._versions():
+            p, fs = self._at(f"manifest/{versions[-1]}")
+            stream = fs.open(p)
+            try:
+                self._state = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+
+    def _publish(self, state: dict) -> None:
+        """Written under another name and renamed, so that a manifest is there whole or not at all."""
+        temporary, fs = self._at(f"manifest/_{state['version']}")
+        out = fs.create(temporary, True)
+        try:
+            out.write(json.dumps(state).encode())
+        finally:
+            out.close()
+        if not fs.rename(temporary, self._at(f"manifest/{state['version']}")[0]):
+            raise RuntimeError(f"version {state['version']} of {self.path} is there already: another writer?")
+        self._state = state
+
+    def _read(self, name: str, buckets: Sequence[int] | None = None) -> DataFrame:
+        at = {int(k): v for k, v in self._state["at"][name].items() if buckets is None or int(k) in buckets}
+        if not at:
             return self.spark.createDataFrame([], self.SCHEMA[name])
-        return self.spark.read.schema(self.SCHEMA[name]).parquet(*[f"{self.path}/{name}/segment={s}" for s in self._segments])
+        return self.spark.read.schema(self.SCHEMA[name]).parquet(*[f"{self.path}/{name}/version={v}/bucket={k}" for k, v in sorted(at.items())])
 
     def pairs(self) -> DataFrame:
-        return self._read("pairs").groupBy("a", "b").agg(F.sum("n").alias("n_ab")).filter("n_ab <> 0")
+        """a, b, n_ab"""
+        return self._read("pairs").withColumnRenamed("n", "n_ab")
 
     def items(self) -> DataFrame:
-        return self._read("items").groupBy("item").agg(F.sum("n").alias("n")).filter("n <> 0")
-
-    def total(self) -> DataFrame:
-        return self._read("total").agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"))
-
-    def update(self, new: DataFrame, old: DataFrame | None = None) -> int:
-        """Apply a change; returns its segment number.
-
-        new and old hold (basket, item), distinct, for the baskets that the change names: their item sets
-        after and before it. A basket in one of the two only appears or vanishes; one whose set is the same
-        in both adds nothing, not even intermediate rows.
-        """
-        self._version, self._segments = self._last()
-        segment = max(self._segments, default=-1) + 1
+        return self._read("items")
+
+    def baskets(self) -> int:
+        return self._state["baskets"]
+
+    def _merge(self, name: str, delta: DataFrame, version: int) -> dict[str, int]:
+        """Write the buckets that `delta` touches anew; returns the version of each bucket."""
+        keys, n = self.KEYS[name], self._state["buckets"]
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+        touched = [r.bucket for r in delta.select(bucket.alias("bucket")).distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return self._state["at"][name]
+        # one task a bucket: hot items are spread over their partners' hash, and a pair is one row
+        rows = self._read(name, touched).unionByName(delta).groupBy(*keys).agg(F.sum("n").alias("n")).filter("n <> 0").withColumn("bucket", bucket)
+        rows.repartition(n, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.path}/{name}/version={version}")
+        p, fs = self._at(f"{name}/version={version}")
+        there = {f.getPath().getName()[7:] for f in fs.listStatus(p) if f.getPath().getName().startswith("bucket=")}  # a bucket may have become empty
+        kept = {k: v for k, v in self._state["at"][name].items() if int(k) not in touched}
+        return kept | {k: version for k in there}
+
+    def _deltas(self, new: DataFrame, old: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
         if old is None:
-            signed = new.withColumn("sign", F.lit(1))
+            signed = durable(new.withColumn("sign", F.lit(1)), "signed")
+            pairs = pairs_of(signed, ["sign"])
         else:
             sides = new.withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1)))
             # order-free fingerprint of each side's item set: two independent 64-bit sums and the size
@@ -131,55 +150,64 @@ class PairCounts:
                 return F.struct(F.coalesce(F.sum(mine), F.lit(0)).alias("h"), F.coalesce(F.sum(salted), F.lit(0)).alias("g"), F.count(F.when(F.col("sign") == s, 1)).alias("k"))
 
             changed = sides.groupBy("basket").agg(mark(1).alias("x"), mark(-1).alias("y")).filter("x <> y").select("basket")
-            signed = sides.join(changed, "basket", "left_semi")
-        pairs = pairs_of(signed, ["sign"]) if old is None else pairs_of(signed.withColumn("basket", F.struct("sign", "basket")), ["sign"])
-        self._write(
-            {
-                "pairs": pairs.groupBy("a", "b").agg(F.sum("sign").alias("n")).filter("n <> 0"),
-                "items": signed.groupBy("item").agg(F.sum("sign").cast("long").alias("n")).filter("n <> 0"),
-                "total": signed.select("basket", "sign").distinct().agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("long").alias("n")),
-            },
-            segment,
-        )
-        self._publish([*self._segments, segment])
-        return segment
-
-    def compact(self) -> None:
-        """Fold all segments into one, written beside them before they are forgotten."""
-        self._version, self._segments = self._last()
-        segment = max(self._segments, default=-1) + 1
-        folded = {"pairs": self.pairs().withColumnRenamed("n_ab", "n"), "items": self.items(), "total": self.total()}
-        kept = self._segments
-        self._write(folded, segment)
-        self._publish([segment])
-        for s in kept:
-            for name in self.SCHEMA:
-                p, fs = self._at(f"{name}/segment={s}")
-                fs.delete(p, True)
+            signed = durable(sides.join(changed, "basket", "left_semi"), "signed")
+            pairs = pairs_of(signed.withColumn("basket", F.struct("sign", "basket")), ["sign"])
+        baskets = signed.select("basket", "sign").distinct().agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("long")).first()[0]
+        n = F.sum("sign").cast("long").alias("n")
+        return pairs.groupBy("a", "b").agg(n).filter("n <> 0"), signed.groupBy("item").agg(n).filter("n <> 0"), baskets
+
+    def update(self, new: DataFrame, old: DataFrame | None = None) -> int:
+        """Apply a change; returns the new version.
+
+        new and old hold (basket, item), distinct, for the baskets that the change names: their item sets
+        after and before it. A basket in one of the two only appears or vanishes; one whose set is the same
+        in both adds nothing, not even intermediate rows.
+        """
+        self._open()
+        version = self._state["version"] + 1
+        pairs, items, baskets = self._deltas(new, old)
+        at = {}
+        for name, delta in (("pairs", pairs), ("items", items)):
+            folder = f"{self.path}/delta/{name}/version={version}"
+            delta.write.mode("overwrite").parquet(folder)
+            at[name] = self._merge(name, self.spark.read.schema(self.SCHEMA[name]).parquet(folder), version)
+        self._publish({**self._state, "version": version, "baskets": self._state["baskets"] + baskets, "at": at})
+        return version
+
+    def clean(self) -> None:
+        """Remove versions of buckets, deltas and manifests that the last manifest does not name; readers of older ones lose them."""
+        self._open()
+        version = self._state["version"]
+        for name, at in self._state["at"].items():
+            p, fs = self._at(name)
+            for f in fs.listStatus(p) if fs.exists(p) else []:
+                if int(f.getPath().getName()[8:]) not in at.values():
+                    fs.delete(f.getPath(), True)
+            p, fs = self._at(f"delta/{name}")
+            for f in fs.listStatus(p) if fs.exists(p) else []:
+                if f.getPath().getName() != f"version={version}":
+                    fs.delete(f.getPath(), True)
+        for v in self._versions()[:-1]:
+            p, fs = self._at(f"manifest/{v}")
+            fs.delete(p, False)
 
     def scores(self, touched_by: int | None = None) -> DataFrame:
-        """tech-neutral association table: a, b, n_ab, n_a, n_b, n, lift = n_ab * n / (n_a * n_b), pmi = log2(lift).
+        """Association table: a, b, n_ab, n_a, n_b, n, lift = n_ab * n / (n_a * n_b), pmi = log2(lift).
 
-        With touched_by, only pairs whose own count or an item's count moved in that segment. The number of
+        With touched_by, a version, only pairs whose own count or an item's count moved in it. The number of
         baskets moves every lift by one common factor, so n comes as a column and lift is taken at read time.
         """
         pairs = self.pairs()
         if touched_by is not None:
-            one = PairCounts(self.spark, self.path, self.buckets)
-            one._segments = [touched_by]
-            moved = one._read("items").select("item")
-            hit = moved.select(F.col("item").alias("a"))
-            pairs = pairs.join(hit, "a", "left_semi").unionByName(pairs.join(hit, "a", "left_anti").join(moved.select(F.col("item").alias("b")), "b", "left_semi").select("a", "b", "n_ab")).unionByName(
-                pairs.join(hit, "a", "left_anti").join(moved.select(F.col("item").alias("b")), "b", "left_anti").join(one._read("pairs").select("a", "b"), ["a", "b"], "left_semi")
-            )
-        n_a = self.items().select(F.col("item").alias("a"), F.col("n").alias("n_a"))
-        n_b = self.items().select(F.col("item").alias("b"), F.col("n").alias("n_b"))
-        baskets = self.total().first().n
+            delta = lambda name: self.spark.read.schema(self.SCHEMA[name]).parquet(f"{self.path}/delta/{name}/version={touched_by}")
+            moved = delta("items").select("item")
+            flag = lambda c: moved.select(F.col("item").alias(c), F.lit(True).alias(f"moved_{c}"))
+            own = delta("pairs").select("a", "b", F.lit(True).alias("own"))
+            pairs = pairs.join(flag("a"), "a", "left").join(flag("b"), "b", "left").join(own, ["a", "b"], "left").filter("moved_a or moved_b or own").select("a", "b", "n_ab")
+        items = self.items()
+        n_a, n_b = items.select(F.col("item").alias("a"), F.col("n").alias("n_a")), items.select(F.col("item").alias("b"), F.col("n").alias("n_b"))
         lift = F.col("n_ab").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b"))
         return (
-            pairs.join(n_a, "a").join(n_b, "b").withColumn("n", F.lit(baskets).cast("long"))
+            pairs.join(n_a, "a").join(n_b, "b").withColumn("n", F.lit(self.baskets()).cast("long"))
             .select("a", "b", "n_ab", "n_a", "n_b", "n", lift.alias("lift"), F.log2(lift).alias("pmi"))
         )
-
-    def describe(self) -> str:
-        return json.dumps({"path": self.path, "segments": self._segments, "buckets": self.buckets})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import contamination, cooccurrence, entities, language, locations, mixing, neardup, topk, truncation
-from tidemark.session import new_path
+from tidemark.session import durable, new_path
 from tidemark.sources.tables import table
 
 QUERIES: dict = {}
@@ -50,8 +50,17 @@ s AS (SELECT tech_a, tech_b, n_ab, x.n AS n_a, y.n AS n_b, (SELECT count(DISTINC
 
 
 def _pair_counts(spark: SparkSession, d: str) -> cooccurrence.PairCounts:
-    counts = cooccurrence.PairCounts(spark, new_path(spark, "pair-counts"))
-    counts.update(cooccurrence.basket_items(table(spark, d, "posting_technologies"), ["source", "job_id"], F.lower(F.trim("tech_slug"))))
+    """The postings as they were delivered are loaded first, slugs in the spelling they came in; then the table is opened
+    again and the postings whose slugs are spelled in another case are put right by signed deltas."""
+    slug = F.trim("tech_slug")
+    rows = table(spark, d, "posting_technologies").select(F.struct("source", "job_id").alias("basket"), slug.alias("typed"), F.lower(slug).alias("item"))
+    rows = durable(rows.filter("item <> ''").distinct(), "basket-items")
+    path = new_path(spark, "pair-counts")
+    cooccurrence.PairCounts(spark, path).update(rows.select("basket", F.col("typed").alias("item")))
+    wrong = rows.filter("typed <> item").select("basket").distinct()
+    named = durable(rows.join(wrong, "basket", "left_semi"), "respelled")
+    counts = cooccurrence.PairCounts(spark, path)
+    counts.update(named.select("basket", "item").distinct(), named.select("basket", F.col("typed").alias("item")))
     return counts
 
 
@@ -110,11 +119,11 @@ def p8_leak_report(spark: SparkSession, d: str) -> DataFrame:
 # --- 9: mixing sources
 
 
-def _mixture(spark: SparkSession, d: str, total: int | None = None):
-    tokens = mixing.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"))
-    from tidemark.session import durable
-
-    return mixing.mix(durable(tokens, "tokens"), table(spark, d, "mix_targets"), total=total)
+def _mixture(spark: SparkSession, d: str, **size):
+    """tidemark.tokenizer names the vocabulary file, which every executor must be able to read."""
+    vocabulary = spark.conf.get("tidemark.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    tokens = mixing.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"), vocabulary)
+    return mixing.mix(durable(tokens, "tokens"), table(spark, d, "mix_targets"), **size)
 
 
 @query("p9_mix_report")
@@ -128,6 +137,19 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[0]
 
 
+@query("p9_tempered_report")
+def p9_tempered_report(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture of one and a half times the listed sources: the limits forbid the target shares at that size, and the exponent is bisected."""
+    return _mixture(spark, d, epochs=1.5)[1]
+
+
+@query("p9_entropy_report")
+def p9_entropy_report(spark: SparkSession, d: str) -> DataFrame:
+    """Source shares tempered to the entropy of the target shares."""
+    shares = {str(k): r.target_share for k, r in enumerate(table(spark, d, "mix_targets").filter("target_share > 0").collect())}  # a row per source
+    return _mixture(spark, d, entropy=mixing.entropy_of({k: v / sum(shares.values()) for k, v in shares.items()}))[1]
+
+
 # --- 10: languages
 
 
