@@ -66,3 +66,58 @@ def test_retention(spark):
     df = spark.createDataFrame([("a", "h", "2024-01-01"), ("b", "h", "2024-01-01"), ("c", None, "2024-01-01"), ("d", "h", "2024-03-01")], "k string, digest string, at string").withColumn("at", F.col("at").cast("date"))
     out = retention.droppable_text(df, keys=["k"], digest="digest", age="at", archived=df, needed=df.filter("k = 'b'"), as_of="2024-03-02", days=7)
     assert {r.k for r in out.filter("drop").collect()} == {"a"}
+
+
+def test_hot_items_are_cut_into_blocks(spark):
+    """The same peers, whatever the block."""
+    df = spark.createDataFrame([(f"e{e}", i) for e in range(30) for i in range(12) if i == 0 or (e * i) % 5 < 2], "e string, i int")
+    got = [rows(R.jaccard_peers(df, entity="e", item="i", least_shared=2, least=0.3, k=4, block=b)) for b in (1000, 7, 1)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 40
+
+
+def test_merge_rules(spark):
+    e = spark.createDataFrame([(1, "a", None), (2, "b", "gone"), (3, None, None)], "k int, v string, d string")
+    i = spark.createDataFrame([(1, "x", None), (2, "y", None), (4, "z", None)], "k int, v string, d string")
+    out = R.merge(e, i, keys=["k"], rules={"v": lambda old, new: F.when(old["d"].isNull(), new["v"])})
+    assert rows(out) == [(1, "x", None), (2, None, "gone"), (3, None, None), (4, "z", None)]
+    assert rows(R.backfill(out, {"v": F.lit("f")})) == [(1, "x", None), (2, "f", "gone"), (3, "f", None), (4, "z", None)]
+
+
+def test_row_numbers_over_everything(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("x"), F.when(F.col("id") % 9 == 0, None).otherwise(F.col("id") % 3).alias("g"))
+    got = R.global_row_number(df, [F.col("g").asc_nulls_last(), F.col("x").desc()], "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, 501))
+    assert [(r.g is None, r.g or 0, -r.x) for r in got] == sorted((r.g is None, r.g or 0, -r.x) for r in got)
+    assert R.global_row_number(df.limit(0), [F.col("x")], "n").count() == 0
+
+
+def test_not_in(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "a int")
+    other = spark.createDataFrame([(2,), (3,)], "b int")
+    assert rows(R.not_in(df, "a", other, "b")) == [(1,)] and R.not_in(df, "a", other.unionByName(spark.createDataFrame([(None,)], "b int")), "b").count() == 0
+    assert R.not_in(df, "a", other.limit(0), "b").count() == 3
+
+
+def test_medians_of_histograms(spark):
+    values = {"even": [0, 0, 3, 9], "odd": [5, 1, 1], "one": [4], "none": [None]}
+    h = spark.createDataFrame([(g, x) for g, v in values.items() for x in v], "g string, x int").groupBy("g", "x").count()
+    assert rows(R.upper_median(h, ["g"], "x", "count", "m")) == [("even", 3), ("odd", 1), ("one", 4)]
+    assert rows(R.median(h, ["g"], "x", "count", "m")) == [("even", 1.5), ("odd", 1.0), ("one", 4.0)]
+
+
+def test_gates(spark):
+    df = spark.createDataFrame([("A b",), ("a-B",), ("c",), (None,)], "x string")
+    slugged = F.regexp_replace(F.lower("x"), "[^a-z]", "")
+    with pytest.raises(ValueError, match="ab"):
+        Q.refuse_collisions(df, "x", slugged)
+    assert Q.refuse_collisions(df.filter("x = 'c'"), "x", slugged).count() == 1
+    e = Q.expectations([("some", True, df, F.count("*") > 0, F.count("*").cast("string")), ("many", False, df, F.count("*") > 9, F.lit("")), ("unknown", False, df.limit(0), F.max("x") == "a", F.lit(""))])
+    assert Q.gate(e) == ["many", "unknown"]
+    with pytest.raises(ValueError):
+        Q.gate(e, strict=True)
+
+
+def test_retention_chooses_a_window(spark):
+    df = spark.createDataFrame([(f"2024-0{m}-01", "2024-01-05") for m in range(1, 7)] + [(None, None)], "p string, s string").selectExpr("cast(p as date) p", "cast(s as date) s")
+    kept, window = retention.delete_to_size(df, posted="p", seen="s", as_of="2024-06-30", windows=[180, 90, 30], idle=7, share=0.6)
+    assert window == 90 and kept.count() == 4  # of January to June and one without a date, January to March go

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Legal-form words that normalised employer names leave out.
-LEGAL_WORDS = ["INC", "INCORPORATED", "LLC", "LLP", "LP", "LTD", "LIMITED", "CORP", "CORPORATION", "CO", "COMPANY", "PLC"]
+# Words that normalised employer names leave out (after points have become blanks).
+LEGAL_WORDS = ["INC", "INCORPORATED", "LLC", "LTD", "LIMITED", "CORP", "CORPORATION", "CO", "COMPANY", "PLC", "LP", "LLP", "PLLC", "PC", "NA", "USA", "US"]
 # Periods a year of each wage unit.
 PERIODS = {"Year": 1, "Month": 12, "Bi-Weekly": 26, "Week": 52, "Hour": 2080}
 
@@ -63,12 +63,6 @@ def title_without_place(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r",\s*[a-z .'-]+,\s*[a-z]{2}\s*$", ""))
 
 
-def seniority(c: Column) -> Column:
-    """First level that the title's words name: intern, senior, entry, else mid."""
-    t = F.lower(F.coalesce(c, F.lit("")))
-    return F.when(t.rlike(r"\b(intern|internship|co-op)\b"), "intern").when(t.rlike(r"\b(senior|staff|principal|lead|head|manager)\b"), "senior").when(t.rlike(r"\b(junior|graduate|entry|trainee)\b"), "entry").otherwise("mid")
-
-
 def annualise(wage: Column, unit: Column) -> Column:
     """Wage times the unit's periods, to cents, half to even; null for an unknown unit, a null or non-positive wage."""
     per = F.create_map(*[F.lit(x) for kv in PERIODS.items() for x in kv])

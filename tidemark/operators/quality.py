@@ -64,3 +64,31 @@ def require_rows(df: DataFrame, name: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"{name}: no rows")
     return df
+
+
+def collisions(df: DataFrame, name: str, slug: Column) -> DataFrame:
+    """(slug, names, ok): the number of distinct names that each slug stands for."""
+    return df.select(F.col(name).alias("_name"), slug.alias("slug")).distinct().groupBy("slug").agg(F.count("*").alias("names")).withColumn("ok", F.col("names") == 1)
+
+
+def refuse_collisions(df: DataFrame, name: str, slug: Column) -> DataFrame:
+    """df itself; names that share a slug are an error that states some of them."""
+    bad = [r.slug for r in collisions(df, name, slug).filter("not ok").orderBy("slug").limit(5).collect()]
+    if bad:
+        raise ValueError(f"slugs of several names: {', '.join(bad)}")
+    return df
+
+
+def expectations(rows: Sequence[tuple[str, bool, DataFrame, Column, Column]]) -> DataFrame:
+    """(name, fatal, ok, detail), one aggregate row for each (name, fatal, table, ok, detail); an ok that is null is not met."""
+    one = lambda name, fatal, df, ok, detail: df.agg(F.coalesce(ok, F.lit(False)).alias("ok"), detail.alias("detail")).select(F.lit(name).alias("name"), F.lit(fatal).alias("fatal"), "ok", "detail")
+    return reduce(DataFrame.unionByName, [one(*r) for r in rows])
+
+
+def gate(result: DataFrame, strict: bool = False) -> list[str]:
+    """Raise if a fatal expectation, or if `strict` any, is not met; returns the names of those that only warn."""
+    failed = [(r.name, r.fatal) for r in result.filter("not ok").orderBy("name").collect()]  # a row an expectation
+    bad = [n for n, fatal in failed if fatal or strict]
+    if bad:
+        raise ValueError(f"expectations not met: {', '.join(bad)}")
+    return [n for n, _ in failed]

@@ -26,3 +26,14 @@ def deletable_counts(rows: DataFrame, *, posted: str, seen: str, as_of: str, win
     aggs = [F.count(F.when((F.to_date(posted) < F.date_sub(at, w)) & (F.to_date(seen) < F.date_sub(at, idle)), 1)).alias(str(w)) for w in windows]
     one = rows.agg(*aggs)
     return one.select(F.explode(F.array(*[F.struct(F.lit(w).alias("window_days"), F.col(str(w)).alias("rows")) for w in windows])).alias("x")).select("x.*")
+
+
+def delete_to_size(rows: DataFrame, *, posted: str, seen: str, as_of: str, windows: Sequence[int], idle: int, share: float) -> tuple[DataFrame, int]:
+    """(rows that stay, window applied): the longest window whose deletion leaves at most `share` of the rows, or the
+    shortest if none does. Rows without a date stay."""
+    gone = {r.window_days: r.rows for r in deletable_counts(rows, posted=posted, seen=seen, as_of=as_of, windows=windows, idle=idle).collect()}  # a row a window
+    n = rows.count()
+    window = max((w for w in windows if n - gone[w] <= share * n), default=min(windows))
+    at = F.lit(as_of).cast("date")
+    old = (F.to_date(posted) < F.date_sub(at, window)) & (F.to_date(seen) < F.date_sub(at, idle))
+    return rows.filter(~F.coalesce(old, F.lit(False))), window

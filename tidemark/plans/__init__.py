@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.registry import ORACLE, QUERIES
 
-MODULES = ["snapshots", "market", "postings", "state", "feeds", "checks", "streams"]
+MODULES = ["snapshots", "market", "postings", "state", "feeds", "rules", "loads", "site", "checks", "streams"]
 
 
 def load_queries() -> dict:

@@ -18,13 +18,14 @@ UNION ALL SELECT 'related tech_slug', count(*), count(*) = 0 FROM posting_techno
 UNION ALL SELECT 'salary order', count(*), count(*) = 0 FROM raw_postings WHERE salary_min > salary_max
 UNION ALL SELECT 'no future dates', count(*), count(*) = 0 FROM raw_postings WHERE posted_date > first_seen
 UNION ALL SELECT 'volume', greatest(1000 - count(*), 0), count(*) >= 1000 FROM raw_postings
-UNION ALL SELECT 'drift', CAST(abs(b - a) * 100.0 / a > 20 AS BIGINT), abs(b - a) * 100.0 / a <= 20 FROM (SELECT count(*) FILTER (WHERE snapshot_no = 1) AS a, count(*) FILTER (WHERE snapshot_no = 6) AS b FROM posting_snapshots)
+UNION ALL SELECT 'drift', CAST(abs(b - a) * 100.0 / a > 20 AS BIGINT), abs(b - a) * 100.0 / a <= 20 FROM (SELECT count(*) FILTER (WHERE snapshot_no = (SELECT min(snapshot_no) FROM posting_snapshots)) AS a, count(*) FILTER (WHERE snapshot_no = (SELECT max(snapshot_no) FROM posting_snapshots)) AS b FROM posting_snapshots)
 """
 
 
 @query("quality_report", _SQL)
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
     p, s = table(spark, d, "raw_postings"), table(spark, d, "posting_snapshots")
+    first, last = s.agg(F.min("snapshot_no"), F.max("snapshot_no")).first()
     ordered = F.coalesce(F.col("salary_min") <= F.col("salary_max"), F.lit(True))
     dated = F.coalesce(F.col("posted_date") <= F.col("first_seen"), F.lit(True))
     return Q.report(
@@ -32,6 +33,6 @@ def quality_report(spark: SparkSession, d: str) -> DataFrame:
             Q.not_null(p, "source"), Q.unique(p, ["source", "job_id"]), Q.accepted(p, "country", ["us", "ca"]), Q.in_range(p, "salary_max", 20000, 1000000),
             Q.related(table(spark, d, "posting_technologies"), "tech_slug", table(spark, d, "technologies"), "tech_slug"),
             Q.holds(p, "salary order", ordered), Q.holds(p, "no future dates", dated), Q.at_least(p, "volume", 1000),
-            Q.drift(s.filter("snapshot_no = 1"), s.filter("snapshot_no = 6"), "drift", 20),
+            Q.drift(s.filter(F.col("snapshot_no") == first), s.filter(F.col("snapshot_no") == last), "drift", 20),
         ]
     )

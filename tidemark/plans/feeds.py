@@ -16,7 +16,7 @@ from tidemark.sources.tables import table
 def json_documents(spark: SparkSession, d: str) -> DataFrame:
     """Postings written as nested JSON documents and read back flat."""
     path = new_path(spark, "documents")
-    D.to_documents(table(spark, d, "raw_postings"), ["source"]).write.json(path)
+    D.to_documents(table(spark, d, "raw_postings")).write.json(path)
     flat = D.read_postings(spark, path)
     return flat.withColumn("loaded", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss")).drop("ingested_at")
 
@@ -25,7 +25,7 @@ def json_documents(spark: SparkSession, d: str) -> DataFrame:
 def export_partitions(spark: SparkSession, d: str) -> DataFrame:
     """Export by source and month; a second export of one source replaces its partitions only."""
     path = new_path(spark, "export")
-    p = table(spark, d, "raw_postings").select("source", "job_id", "posted_date")
+    p = table(spark, d, "raw_postings")
     month = F.coalesce(F.date_format("posted_date", "yyyy-MM"), F.lit("none"))
     D.export(p, path, source=F.col("source"), posted_month=month)
     D.export(p.filter("source = 'feed_west'"), path, source=F.col("source"), posted_month=month)
@@ -41,9 +41,17 @@ def resume_partitions(spark: SparkSession, d: str) -> DataFrame:
     return D.missing_partitions(p.select("source").distinct(), spark, path, ["source"])
 
 
-@query("mirror_json", "SELECT employer_key, fiscal_year, median_wage, CASE WHEN tech_soc_titles IS NOT NULL THEN CAST(to_json(tech_soc_titles) AS VARCHAR) END AS tech_soc_titles FROM dol_employer_summary")
+_STAMPS = ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') AS {c}" for c in ("posted_date", "ingested_at", "first_seen", "last_seen", "description_dropped_at"))
+
+
+@query(
+    "mirror_json",
+    f"""SELECT * EXCLUDE (location_area, posted_date, ingested_at, first_seen, last_seen, description_dropped_at, salary_min), CASE WHEN location_area IS NOT NULL THEN CAST(to_json(location_area) AS VARCHAR) END AS location_area, {_STAMPS},
+ CAST(CAST(salary_min AS DECIMAL(12, 2)) AS DOUBLE) AS salary_min FROM raw_postings""",
+)
 def mirror_json(spark: SparkSession, d: str) -> DataFrame:
-    return D.mirror(table(spark, d, "dol_employer_summary").select("employer_key", "fiscal_year", "median_wage", "tech_soc_titles"))
+    """All columns: arrays as JSON, timestamps as text to the microsecond, decimals as doubles."""
+    return D.mirror(table(spark, d, "raw_postings").withColumn("salary_min", F.col("salary_min").cast("decimal(12,2)")))
 
 
 @query("keyset_page", "SELECT DISTINCT source, job_id FROM raw_postings WHERE (source, job_id) > ('feed_north', '1') ORDER BY source, job_id LIMIT 100")
@@ -111,29 +119,15 @@ def location_states(spark: SparkSession, d: str) -> DataFrame:
     return v.join(s, "tail", "left").join(k, "tail", "left").select("location", F.coalesce("by_name", "by_code").alias("state"))
 
 
-@query(
-    "numeric_claims",
-    r"""WITH p AS (SELECT DISTINCT source, job_id, list_distinct(regexp_extract_all(description_raw, '\b\d+\b')) AS claims FROM raw_postings WHERE description_raw IS NOT NULL),
-a AS (SELECT DISTINCT source, job_id, len(claims) AS claims, len(list_filter(claims, lambda x: NOT list_contains(['1', '2', '3', '4', '5', '6', '7', '8', '9', '10'], x))) AS unsupported FROM p) SELECT * FROM a""",
-)
-def numeric_claims(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers that a text states, and those that an allowed set does not cover."""
-    allowed = F.array(*[F.lit(str(n)) for n in range(1, 11)])
-    claims = F.array_distinct(F.regexp_extract_all("description_raw", F.lit(r"\b\d+\b"), F.lit(0)))
-    p = table(spark, d, "raw_postings").filter("description_raw is not null").select("source", "job_id", claims.alias("c"))
-    return p.select("source", "job_id", F.size("c").cast("long").alias("claims"), F.size(F.array_except("c", allowed)).cast("long").alias("unsupported")).distinct()
-
-
-@query("eval_metrics", "WITH e AS (SELECT posting_technologies.tech_slug = t.tech_slug AS hit, length(posting_technologies.tech_slug) - length(t.tech_slug) AS d FROM posting_technologies JOIN technologies t ON t.tech_slug = lower(trim(posting_technologies.tech_slug))) SELECT count(*) AS n, round(100.0 * avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 2) AS accuracy, round(avg(abs(d)), 4) AS mae FROM e")
-def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy in percent and mean absolute error of a prediction against its label."""
-    t = table(spark, d, "technologies").select(F.col("tech_slug").alias("label"))
-    e = table(spark, d, "posting_technologies").select("tech_slug").join(t, F.lower(F.trim("tech_slug")) == F.col("label"))
-    hit = (F.col("tech_slug") == F.col("label")).cast("double")
-    return e.agg(F.count("*").alias("n"), F.round(100 * F.avg(hit), 2).alias("accuracy"), F.round(F.avg(F.abs(F.length("tech_slug") - F.length("label"))), 4).alias("mae"))
+_SAID = "CASE WHEN n IS NULL THEN 'soon' WHEN n <= 0 THEN 'listed today' WHEN n = 1 THEN 'listed yesterday' WHEN n > 30 THEN 'listed 30+ days ago' ELSE 'listed ' || n || ' days ago' END"
 
 
-@query("prose_dates", "SELECT * FROM (VALUES ('Posted 30+ Days Ago', DATE '2024-04-01'), ('Posted Today', DATE '2024-05-01'), ('Posted Yesterday', DATE '2024-04-30'), ('3 days ago', DATE '2024-04-28'), ('soon', NULL)) t(said, day)")
+@query(
+    "prose_dates",
+    f"WITH x AS (SELECT source, job_id, date_diff('day', CAST(posted_date AS DATE), DATE '2026-10-18') AS n FROM raw_postings) SELECT source, job_id, {_SAID} AS said, CASE WHEN n IS NOT NULL THEN DATE '2026-10-18' - CAST(least(greatest(n, 0), 30) AS INT) END AS day FROM x",
+)
 def prose_dates(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in ["Posted 30+ Days Ago", "Posted Today", "Posted Yesterday", "3 days ago", "soon"]], "said string")
-    return rows.select("said", C.relative_date(F.col("said"), F.lit("2024-05-01").cast("date")).alias("day"))
+    """Dates told in words, read back against the day they were told on."""
+    n = F.datediff(F.lit("2026-10-18"), F.to_date("posted_date"))
+    said = F.when(n.isNull(), "soon").when(n <= 0, "listed today").when(n == 1, "listed yesterday").when(n > 30, "listed 30+ days ago").otherwise(F.concat(F.lit("listed "), n.cast("string"), F.lit(" days ago")))
+    return table(spark, d, "raw_postings").select("source", "job_id", said.alias("said")).withColumn("day", C.relative_date(F.col("said"), F.lit("2026-10-18").cast("date")))

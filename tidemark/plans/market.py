@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import blank_to_null, pct, surrogate_key
-from tidemark.operators.relational import jaccard_peers, movement
+from tidemark.operators.relational import jaccard_peers, median, movement
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -206,14 +206,15 @@ def employer_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("medians", "SELECT l_suppkey AS s, median(l_extendedprice) AS exact, quantile_disc(l_quantity, 0.5) AS discrete, list_sort(list(l_quantity))[CAST(floor(count(l_quantity) / 2) AS INT) + 1] AS upper FROM lineitem GROUP BY 1")
 def medians(spark: SparkSession, d: str) -> DataFrame:
-    """Interpolated, discrete and upper median; the last from a value histogram, so no group is collected row by row."""
+    """Interpolated, discrete and upper median, from value histograms, so no group is collected row by row."""
     l = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), "l_extendedprice", "l_quantity")
+    prices = l.groupBy("s", "l_extendedprice").agg(F.count("*").alias("n"))
     h = l.groupBy("s", "l_quantity").agg(F.count("*").alias("n"))
     w = Window.partitionBy("s")
     upto = F.sum("n").over(w.orderBy("l_quantity").rowsBetween(Window.unboundedPreceding, 0))
-    up = h.withColumns({"upto": upto, "all": F.sum("n").over(w)}).filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("s").agg(F.min("l_quantity").alias("upper"))
-    m = l.groupBy("s").agg(F.median("l_extendedprice").alias("exact"), F.percentile_approx("l_quantity", 0.5, 1000000).alias("discrete"))
-    return m.join(up, "s")
+    least = lambda k: F.min(F.when(F.col("upto") >= k, F.col("l_quantity")))
+    up = h.withColumns({"upto": upto, "all": F.sum("n").over(w)}).groupBy("s").agg(least(F.ceil(F.col("all") / 2)).alias("discrete"), least(F.floor(F.col("all") / 2) + 1).alias("upper"))
+    return median(prices, ["s"], "l_extendedprice", "n", "exact").join(up, "s")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -109,7 +109,7 @@ def dim_technology(spark: SparkSession, d: str) -> DataFrame:
     return t.select(C.surrogate_key(F.col("tech_slug")).alias("tech_key"), "tech_slug", "tech_name", "category", "is_tracked", n.alias("postings"), (n > 0).alias("is_used"))
 
 
-_NORM = "nullif(trim(regexp_replace(regexp_replace(regexp_replace(upper({0}), '[.,]', ' ', 'g'), '\\b(?:INC|INCORPORATED|LLC|LLP|LP|LTD|LIMITED|CORP|CORPORATION|CO|COMPANY|PLC)\\b', ' ', 'g'), '[^A-Z0-9&]+', ' ', 'g')), '')"
+_NORM = "nullif(trim(regexp_replace(regexp_replace(regexp_replace(upper({0}), '[.,]', ' ', 'g'), '\\b(?:INC|INCORPORATED|LLC|LTD|LIMITED|CORP|CORPORATION|CO|COMPANY|PLC|LP|LLP|PLLC|PC|NA|USA|US)\\b', ' ', 'g'), '[^A-Z0-9&]+', ' ', 'g')), '')"
 
 
 @query("employer_normalise", f"SELECT DISTINCT company_name, {_NORM.format('company_name')} AS employer, replace({_NORM.format('company_name')}, ' ', '') AS squashed FROM raw_postings WHERE company_name IS NOT NULL")
@@ -146,15 +146,6 @@ def prefix_entity_match(spark: SparkSession, d: str) -> DataFrame:
     return k.join(m, "company", "left").select("company", employer.alias("employer"), kind.alias("match_type"))
 
 
-@query(
-    "seniority_titles",
-    """SELECT job_title, CASE WHEN regexp_matches(lower(coalesce(job_title, '')), '\\b(intern|internship|co-op)\\b') THEN 'intern' WHEN regexp_matches(lower(coalesce(job_title, '')), '\\b(senior|staff|principal|lead|head|manager)\\b') THEN 'senior'
- WHEN regexp_matches(lower(coalesce(job_title, '')), '\\b(junior|graduate|entry|trainee)\\b') THEN 'entry' ELSE 'mid' END AS seniority, count(*) AS n FROM raw_postings GROUP BY 1, 2""",
-)
-def seniority_titles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_postings").groupBy("job_title", C.seniority(F.col("job_title")).alias("seniority")).agg(F.count("*").alias("n"))
-
-
 _CLEAN = "regexp_replace(description_raw, '<[^<>]*>', ' ', 'g')"
 for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
     _CLEAN = f"replace({_CLEAN}, '{_e}', '{_c}')"
@@ -166,22 +157,6 @@ def html_clean(spark: SparkSession, d: str) -> DataFrame:
     return p.select("source", "job_id", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss").alias("loaded"), F.md5(C.html_to_text(F.col("description_raw"))).alias("text_md5"))
 
 
-@query(
-    "tech_match",
-    """WITH t AS (SELECT tech_slug, lower(tech_name) AS name FROM technologies), p AS (SELECT DISTINCT source, job_id, lower(description_raw) AS d FROM raw_postings WHERE description_raw IS NOT NULL)
-SELECT DISTINCT source, job_id, tech_slug FROM p JOIN t ON contains(d, name) WHERE regexp_matches(d, '(^|[^\\p{L}\\p{N}_/])' || name || '($|[^\\p{L}\\p{N}_/])')""",
-)
-def tech_match(spark: SparkSession, d: str) -> DataFrame:
-    """Vocabulary names in texts, as whole words: one alternation finds what there is, longest first at each place."""
-    names = table(spark, d, "technologies").select("tech_slug", F.lower("tech_name").alias("name"))
-    words = sorted((r.name for r in names.collect()), key=lambda n: (-len(n), n))  # the vocabulary: 120 entries
-    quoted = "|".join(w.replace(".", r"\.").replace("+", r"\+") for w in words)
-    pattern = rf"(?<![\p{{L}}\p{{N}}_/])(?:{quoted})(?![\p{{L}}\p{{N}}_/])"
-    p = table(spark, d, "raw_postings").select("source", "job_id", F.lower("description_raw").alias("t")).filter("t is not null")
-    hits = p.select("source", "job_id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)))).alias("name")).distinct()
-    return hits.join(names, "name").select("source", "job_id", "tech_slug").distinct()
-
-
 @query("url_parts", "SELECT source, job_id, strftime(ingested_at, '%Y-%m-%d %H:%M:%S') AS loaded, lower(regexp_extract(redirect_url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(redirect_url, '^([^?#]*)', 1) AS bare, regexp_extract(redirect_url, '^(.*/)[^/]*$', 1) AS prefix FROM raw_postings WHERE redirect_url IS NOT NULL")
 def url_parts(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("redirect_url")
@@ -198,8 +173,8 @@ def search_payload(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "raw_postings").withColumn("prefix", F.regexp_extract("redirect_url", r"^(.*/)[^/]*$", 1))
 
     def dictionary(c: str, name: str) -> DataFrame:
-        w = Window.partitionBy().orderBy(c)  # a dictionary of few values by design
-        return p.select(c).filter(F.col(c).isNotNull()).distinct().withColumn(name, F.row_number().over(w) - 1)
+        values = p.select(c).filter(F.col(c).isNotNull()).distinct()
+        return R.global_row_number(values, [F.col(c)], name).withColumn(name, (F.col(name) - 1).cast("int"))
 
     j = p.join(dictionary("category", "c"), "category", "left").join(dictionary("prefix", "u"), "prefix", "left")
     return j.select("source", "job_id", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss").alias("loaded"), "c", "u", F.regexp_extract("redirect_url", r"([^/]*)$", 1).alias("rest"))

@@ -20,3 +20,9 @@ def dataset_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> Da
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], schema)
         raise
+
+
+def csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV with a header line, columns by name; of a wide file only the selected ones are parsed. Values that do not fit
+    their type are null."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,3 +76,36 @@ def scored(rows: DataFrame, rules: list[tuple[str, Column, Column]], threshold:
     score = sum((F.when(c, p).otherwise(0) for c, (_, _, p) in zip(on, rules)), F.lit(0))
     reason = F.concat_ws("; ", *[F.when(c, F.lit(n)) for c, (n, _, _) in zip(on, rules)])
     return rows.withColumns({"score": score, "reason": reason}).filter(F.col("score") >= threshold)
+
+
+def resume(stream: DataFrame, path: str) -> DataFrame:
+    """Run a named stream from where its last run ended to the end of its input. Offsets are kept under path/checkpoint, rows
+    under path/data by batch number, so a batch that comes again after a failure replaces its first try."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={n}")
+
+    q = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/data").select(*stream.columns)
+
+
+def replay(stream: DataFrame, at: str, since) -> DataFrame:
+    """What came at or after `since`, read again under a mark of its own; the marks of named streams stay where they are."""
+    return run_to_table(stream.filter(F.col(at) >= F.lit(since)), "replay")
+
+
+def keyed(stream: DataFrame, key: Column, slots: int) -> DataFrame:
+    """Records of a log: key, value (the row as JSON), slot (by key hash). Rows of a key share a slot."""
+    value = F.to_json(F.struct(*stream.columns))
+    return stream.select(key.alias("key"), value.alias("value"), F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("slot"))
+
+
+def watch(source: Callable[[], DataFrame], path: str, rounds: int = 1, seconds: float = 0.0) -> DataFrame:
+    """Resume the stream `rounds` times, `seconds` apart; 1 is one shot."""
+    for k in range(rounds):
+        if k and seconds:
+            time.sleep(seconds)
+        out = resume(source(), path)
+    return out
