@@ -147,6 +147,7 @@ def test_near_duplicates_equal_brute_force(spark, longest_run):
     df = spark.createDataFrame(rows, "key string, text string, at int, id int, class_id string")
     plan = nd.Plan(width=3, threshold=0.6, longest_run=longest_run)
     members, links = nd.near_duplicates(df, key="key", text="text", version="at", plan=plan, blocks=7)
+    assert {r.key: r.size for r in nd.groups(members, links).collect()}["s:same"] >= 3
     got = {tuple(r) for r in nd.class_pairs(members, links).collect()}
     s = {k: x for k, t in texts.items() if (x := sets(t, 3))}
     want = {(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.6 * len(s[a] | s[b])}
@@ -161,7 +162,47 @@ def test_large_class_is_not_squared(spark):
     pairs = nd.class_pairs(members, links, expand=10).collect()
     assert len(pairs) == 89 and len({x for p in pairs for x in p}) == 90
     m, l = nd.near_duplicates(df.limit(0), key="key", text="text")
-    assert m.count() == 0 and l.count() == 0 and nd.class_pairs(m, l).count() == 0
+    assert m.count() == 0 and l.count() == 0 and nd.class_pairs(m, l).count() == 0 and nd.groups(m, l).count() == 0
+
+
+def test_layouts_of_one_set_are_all_paired(spark):
+    """Only byte-equal texts stand for each other; texts that differ in case or markup are paired one by one."""
+    text = "one two three four five"
+    rows = [(f"a{i:02d}", text) for i in range(20)] + [(f"b{i:02d}", f"<i>{text}</i>" + "!" * i) for i in range(15)]
+    members, links = nd.near_duplicates(spark.createDataFrame(rows, "key string, text string"), key="key", text="text", plan=nd.Plan(width=2, threshold=0.6))
+    got = {tuple(r) for r in nd.class_pairs(members, links, expand=10).collect()}
+    b = [k for k, _ in rows[20:]]
+    assert got == {("a00", k) for k, _ in rows[1:]} | {(x, y) for x in b for y in b if x < y}
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(50)] + [(7, 7)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = nd.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(linked) and {r.node: r.root for r in got} == {x: find(x) for x in linked}
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs at a similarity of just 0.6: the guaranteed distance lies above the expected one, and none of 600 is lost."""
+    plan = nd.Plan(width=1, threshold=0.6)
+    assert plan.guaranteed >= plan.symbols * (1 - plan.threshold)
+    rows = []
+    for k in range(600):
+        common = " ".join(f"c{k}x{i}" for i in range(60))
+        rows += [(f"a{k}", common + "".join(f" a{k}x{i}" for i in range(20))), (f"b{k}", common + "".join(f" b{k}x{i}" for i in range(20)))]
+    links = nd.near_duplicates(spark.createDataFrame(rows, "key string, text string"), key="key", text="text", plan=plan)[1]
+    assert links.filter("similarity = 0.6").count() >= 599
 
 
 def test_guarantee():

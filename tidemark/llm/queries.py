@@ -215,6 +215,14 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return members.join(first, "class_id").join(n, "class_id", "left").select("key", "class_name", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+@query("p6_groups")
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """A row per posting: the group of adverts linked to it directly or through others, named by its least posting, and its size."""
+    g = durable(neardup.groups(*_adverts(spark, d)), "groups")
+    named = g.groupBy("group_id").agg(F.min("key").alias("group_name"))
+    return g.join(named, "group_id").select(F.col("key").alias("posting"), "group_name", "size")
+
+
 # --- 4: texts cut off
 
 
