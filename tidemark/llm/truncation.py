@@ -13,8 +13,11 @@
    the like, or if its ending is incomplete by 2. At a field limit an
    ending must be all but certain to pass as complete; elsewhere (transfers that broke off) more often than not.
 
-The words looked up reach the counting tasks as a bit table of fixed size, which only saves work: counts are
+The words looked up reach the counting tasks as a bit table, sized by their number, which only saves work: counts are
 joined to endings by their full keys.
+
+Field limits are all that lengths can show. A transfer that broke off leaves no length behind, so endings away from limits
+are judged as well, by a cut-off of their own, and are reported apart from those at limits.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.neardup import bit_table
 from tidemark.llm.words import MIX, mixed, slices
 from tidemark.session import durable
 
@@ -40,7 +44,6 @@ OPEN_ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]*)?\Z")
 TAGS = re.compile(r"<\s*(/?)\s*([A-Za-z][A-Za-z0-9]*)[^<>]*?(/?)>")
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr"}
 CLOSED = re.compile(r"[.!?][\"'”’»)\]]*\Z")
-BITS = 23
 
 # Kinds of ending.
 OPEN, MARKED, DANGLING, WORDS, COMPLETE = "open markup", "marked", "dangling", "words", "complete"
@@ -153,7 +156,7 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[1:], lengths, pa.array(kinds, pa.string()), *[pa.array(x) for x in k]], names=[*b.schema.names[1:], "length", "kind", "k3", "k2", "j3"])
 
 
-def _counts(wanted: np.ndarray):
+def _counts(wanted: np.ndarray, n_bits: int):
     """Texts to (key, ends, goes_on) for keys that the bit table lets through, summed up batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +164,7 @@ def _counts(wanted: np.ndarray):
         for b in slices(batches):
             keys, state, _ = contexts([body(t)[0] for t in b.column(0).to_pylist()])
             flat, s = keys.ravel(), np.tile(state, 3)
-            place = flat >> np.uint64(64 - BITS)
+            place = flat >> np.uint64(64 - n_bits)
             hit = (wanted[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
             u, inverse = np.unique(flat[hit], return_inverse=True)
             n = [np.bincount(inverse[s[hit] == v], minlength=len(u)) for v in (1, 0)]
@@ -192,10 +195,15 @@ def length_hazards(lengths: DataFrame, *, by: str, around: int = 40, apart: int
     kl = F.when(h >= 1, -F.log(e)).otherwise(h * F.log(h / e) + (1 - h) * F.log((1 - h) / (1 - e)))
     c = c.withColumn("p_value", F.when(h <= e, F.lit(1.0)).otherwise(F.exp(-F.col("at_risk") * kl)))
     tests = c.filter(F.col("texts") >= least)
-    # ranks of p-values over sources x lengths, which does not grow with the texts
-    w = Window.partitionBy().orderBy("p_value")
-    ranked = tests.withColumns({"r": F.row_number().over(w), "m": F.count("*").over(Window.partitionBy())})
-    cut = ranked.filter(F.col("p_value") <= F.lit(fdr) * F.col("r") / F.col("m")).agg(F.max("p_value").alias("cut"))
+    # Benjamini-Hochberg: ranks are taken within ranges of p-values and moved on by the sizes of those before; a p-value
+    # above fdr can't pass and changes no rank below it
+    m = tests.count()
+    low = tests.filter(F.col("p_value") <= fdr).select("p_value", F.floor(F.log10(F.greatest("p_value", F.lit(1e-300))) * 10).alias("range"))
+    sizes = low.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most 3,001 ranges
+    ranked = low.join(F.broadcast(sizes.select("range", before.alias("before"))), "range")  # as many
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("range").orderBy("p_value")) + F.col("before"))
+    cut = ranked.filter(F.col("p_value") <= F.lit(fdr) * F.col("r") / F.lit(m)).agg(F.max("p_value").alias("cut"))
     most = cut.first().cut  # null if no length passes
     passed = F.lit(False) if most is None else (F.col("texts") >= least) & (F.col("p_value") <= most)
     return c.withColumn("limit", passed).drop("around")
@@ -210,22 +218,13 @@ def cut_texts(rows: DataFrame, *, keys: Sequence[str], text: str, by: str, at_li
     of one word are judged like others; an empty table gives no rows; null keys are kept; columns not named are not
     read.
     """
-    spark = rows.sparkSession
     src = rows.select(F.col(text).alias("text"), *[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)], F.col(by).alias("by"), F.xxhash64(text).alias("same_text")).filter(F.col("text").rlike(r"\S"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields[1:])
     tails = durable(src.mapInArrow(_tails, fields + ", length int, kind string, k3 long, k2 long, j3 long"), "tails")
     open_ = tails.filter(F.col("kind") == WORDS)
-    bits = (
-        open_.select(F.explode(F.array("k3", "k2", "j3")).alias("k")).distinct()
-        .select(F.shiftrightunsigned("k", 64 - BITS).alias("p"))
-        .groupBy(F.shiftright("p", 6).cast("int").alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
-    )
-    wanted = np.zeros(1 << (BITS - 6), np.uint64)
-    for r in bits.collect():  # at most 2 ** (BITS - 6) rows
-        wanted[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
-    counts = src.select("text").mapInArrow(_counts(wanted), "key long, ends long, goes_on long")
-    counts = counts.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")).filter("ends + goes_on > 0")
+    wanted = durable(open_.select(F.explode(F.array("k3", "k2", "j3")).alias("k")).distinct(), "ending-keys")
+    counts = src.select("text").mapInArrow(_counts(*bit_table(wanted, "k")), "key long, ends long, goes_on long")
+    counts = counts.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")).filter("ends + goes_on > 0").join(wanted.withColumnRenamed("k", "key"), "key", "left_semi")
 
     limits = length_hazards(tails, by="by").filter("limit").select(F.col("by").alias("l_by"), F.col("length").alias("l_length"))
     t = tails.join(limits, F.col("by").eqNullSafe(F.col("l_by")) & (F.col("length") == F.col("l_length")), "left")
