@@ -2,9 +2,11 @@
 
 A language's profile is its `profile_size` most frequent character n-grams (1 to 4 letters, words padded with
 blanks) in rank order, counted over every document whose label names that language; wrong labels are a small
-share and do not reach the top of a profile. A text's own most frequent n-grams are ranked the same way and the
-out-of-place distance to a profile is the sum of the rank differences, profile_size for an n-gram the profile
-lacks; n-grams that no profile has would add the same to every distance and are left out. The nearest profile wins; confidence is its lead over the next one as a share of that one's distance.
+share and do not reach the top of a profile. All n-grams of a text are ranked the same way, those of profiles before
+others of the same count, and the out-of-place distance to a profile is the sum of the rank differences over the
+profile_size first ones, profile_size for an n-gram that the profile lacks. N-grams that no profile has take their places in
+the ranking; what they add, the same to every distance, is left out of it. The nearest profile wins; confidence is its
+lead over the next one as a share of that one's distance.
 """
 
 from __future__ import annotations
@@ -143,28 +145,42 @@ class Ranker:
             t[self.vocabulary[mine] - (n << 6 * n)] = mine
             self.place.append(t)
 
-    def counts(self, texts: list[str]) -> np.ndarray:
-        """[texts, vocabulary]"""
+    def grams(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(text, place in the vocabulary) of each n-gram that a profile has, and (text, code) of all others."""
         c = letters(texts)
         owner = np.cumsum(c == 64)
-        g, keys = len(self.vocabulary), []
+        known, other = [], []
         for n in range(1, LONGEST + 1):
             code, at = gram_codes(c, n)
             place = self.place[n - 1][code - np.uint32(n << 6 * n)]
             hit = place >= 0
-            keys.append(owner[at[hit]] * g + place[hit])
-        return np.bincount(np.concatenate(keys), minlength=len(texts) * g).reshape(len(texts), g)
-
-    def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each row's nearest language (ties by code) and its confidence; (-1, 0) for rows without known n-grams."""
+            known.append((owner[at[hit]], place[hit]))
+            at = at[~hit]
+            other.append((owner[at], code[~hit]))
+        return [np.concatenate(x) for x in zip(*known)], [np.concatenate(x) for x in zip(*other)]
+
+    def counts(self, owner: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+        """[n, vocabulary]"""
+        g = len(self.vocabulary)
+        return np.bincount(owner * g + place, minlength=n * g).reshape(n, g)
+
+    def nearest(self, counts: np.ndarray, row_o: np.ndarray, n_o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each row's nearest language (ties by code) and its confidence; (-1, 0) for rows without known n-grams.
+        row_o, n_o: row and count of each n-gram that no profile has."""
         best, lead = np.full(len(counts), -1), np.zeros(len(counts))
         row, col = np.nonzero(counts)
         if not len(row):
             return best, lead
-        o = np.lexsort((col, -counts[row, col], row))
-        row, col = row[o], col[o]
+        # one number holds row, falling count and place: 20, 28 and 16 bits
+        most = np.uint64((1 << 28) - 1)
+        falling = lambda r, n: r.astype(np.uint64) << np.uint64(28) | (most - np.minimum(n.astype(np.uint64), most))
+        k = np.sort(falling(row, counts[row, col]) << np.uint64(16) | col.astype(np.uint64))
+        row, col = (k >> np.uint64(44)).astype(np.int64), (k & np.uint64(0xFFFF)).astype(np.int64)
         rows, start, size = np.unique(row, return_index=True, return_counts=True)
         mine = np.arange(len(row)) - np.repeat(start, size)
+        if len(row_o):  # others of a greater count come before
+            o = np.sort(falling(row_o, n_o))
+            mine += np.searchsorted(o, k >> np.uint64(16), "left") - np.searchsorted(o, row.astype(np.uint64) << np.uint64(28), "left")
         top = mine < self.k
         theirs = self.ranks[col]
         d = np.where(theirs < 0, self.k, np.abs(theirs - mine[:, None])) * top[:, None]
@@ -175,6 +191,14 @@ class Ranker:
         return best, lead
 
 
+def repeated(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, code, count) of each two of them."""
+    k = np.sort(owner.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64))
+    edges = np.nonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))[0] if len(k) else np.zeros(1, np.int64)
+    first = k[edges[:-1]]
+    return (first >> np.uint64(32)).astype(np.int64), (first & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.diff(edges)
+
+
 def _assign(known: dict[str, list[int]], profile_size: int, least_lead: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = Ranker(known, profile_size)
@@ -198,15 +222,35 @@ def _assign(known: dict[str, list[int]], profile_size: int, least_lead: float):
             own = whole = np.full(len(flat), -1)
             lead = whole_lead = np.zeros(len(flat))
         else:
-            # a document of many paragraphs is taken in pieces
-            total, own, lead = np.zeros((len(parts), len(rank.vocabulary)), np.int64), [], []
+            # a document of many paragraphs is taken in pieces; one of a single paragraph is judged once
+            several = np.nonzero(sizes > 1)[0]
+            at = np.full(len(parts), -1)
+            at[several] = np.arange(len(several))
+            total, others, own, lead = np.zeros((len(several), len(rank.vocabulary)), np.int64), [], [], []
             for i in range(0, len(flat), TOGETHER):
-                counts = rank.counts(flat[i : i + TOGETHER])
-                np.add.at(total, doc[i : i + TOGETHER], counts)
-                x, y = rank.nearest(counts)
+                part = flat[i : i + TOGETHER]
+                (owner, place), (owner_o, code_o) = rank.grams(part)
+                counts = rank.counts(owner, place, len(part))
+                row_o, code_o, n_o = repeated(owner_o, code_o)
+                more = n_o > 1  # what occurs once stands behind all n-grams of profiles
+                x, y = rank.nearest(counts, row_o[more], n_o[more])
                 own.append(x), lead.append(y)
+                of = at[doc[i : i + TOGETHER]]
+                np.add.at(total, of[of >= 0], counts[of >= 0])
+                whole_o = of[row_o]
+                others.append((whole_o[whole_o >= 0], code_o[whole_o >= 0], n_o[whole_o >= 0]))
             own, lead = np.concatenate(own), np.concatenate(lead)
-            d, d_lead = rank.nearest(total)
+            first = np.cumsum(sizes) - sizes
+            d, d_lead = own[np.minimum(first, len(own) - 1)], lead[np.minimum(first, len(own) - 1)]
+            if len(several):
+                row_o, code_o, n_o = (np.concatenate(x) for x in zip(*others))
+                k = row_o.astype(np.uint64) << np.uint64(32) | code_o.astype(np.uint64)
+                o = np.argsort(k, kind="stable")
+                k, n_o = k[o], n_o[o]
+                edges = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0] if len(k) else np.empty(0, np.int64)
+                n_o = np.add.reduceat(n_o, edges) if len(edges) else n_o
+                row_o = (k[edges] >> np.uint64(32)).astype(np.int64)
+                d[several], d_lead[several] = rank.nearest(total, row_o[n_o > 1], n_o[n_o > 1])
             whole, whole_lead = d[doc], d_lead[doc]
             keep = (own >= 0) & ((lead >= least_lead) | (own == whole))
             own = np.where(keep, own, whole)
