@@ -103,8 +103,16 @@ def p3_moved(spark: SparkSession, d: str) -> DataFrame:
 
 # --- 8: evaluation texts in the corpus
 
+_WORDS = r"regexp_extract_all(regexp_replace(lower({0}), '<[^<>]*>|&[a-z][a-z0-9]*;|&#[0-9]+;', ' ', 'g'), '[\p{{L}}\p{{N}}]+')"
 
-@query("p8_found")
+
+def _windows(name: str, key: str, text: str, n: int, source: str) -> str:
+    """SQL for the distinct runs of n plain words of each text."""
+    words = _WORDS.format(text)
+    return f"{name} AS (SELECT DISTINCT {key}, array_to_string(w[i:i + {n - 1}], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT {key}, {words} AS w FROM {source})))"
+
+
+@query("p8_found", f"WITH {_windows('d', 'doc_id', 'text', 13, 'documents')}, {_windows('i', 'item_id', 'text', 13, 'eval_items')} SELECT DISTINCT doc_id, item_id FROM d JOIN i ON d.s = i.s")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.tile_overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"), seed=13).select("doc_id", "item_id")
 
@@ -200,7 +208,14 @@ def _adverts(spark: SparkSession, d: str):
     return neardup.near_duplicates(rows, key="posting", text="advert", version="ingested_at", plan=ADVERT)
 
 
-@query("p6_found")
+_TEXTS = "(SELECT source || ':' || job_id AS k, arg_max(coalesce(job_title, '') || ' ' || coalesce(company_name, '') || ' ' || description_raw, ingested_at) AS t FROM raw_postings WHERE trim(regexp_replace(description_raw, '\\s+', ' ', 'g')) <> '' GROUP BY 1)"
+
+
+@query(
+    "p6_found",
+    f"""WITH {_windows('s', 'k', 't', 3, _TEXTS)}, n AS (SELECT k, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.k < b.k GROUP BY 1, 2)
+SELECT a AS posting_a, b AS posting_b FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE c >= 0.6 * (x.n + y.n - c)""",
+)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = neardup.class_pairs(*_adverts(spark, d))
     return pairs.select(F.col("key_a").alias("posting_a"), F.col("key_b").alias("posting_b"))
@@ -238,10 +253,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p4_report")
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per source: postings with text, those cut, their share, and the field limits found."""
-    per_key = _cut_postings(spark, d).groupBy("source", "job_id").agg(F.max("cut").alias("cut"), F.max(F.when(F.col("limit"), F.col("length"))).alias("at"))
+    """Per source: postings with text, those cut, their share, how many of them end at a field limit, bear a mark of the
+    source, or end incomplete elsewhere, and the field limits found."""
+    c = F.col("cut")
+    marked = F.col("kind") == truncation.MARKED
+    per_key = _cut_postings(spark, d).groupBy("source", "job_id").agg(F.max("cut").alias("cut"), F.max(c & F.col("limit")).alias("at_limit"), F.max(c & marked).alias("marked"), F.max(F.when(F.col("limit"), F.col("length"))).alias("at"))
     return per_key.groupBy("source").agg(
-        F.count("*").alias("postings"), F.count(F.when(F.col("cut"), 1)).alias("cut"), F.avg(F.col("cut").cast("int")).alias("cut_share"), F.array_sort(F.collect_set("at")).alias("limits")
+        F.count("*").alias("postings"), F.count_if("cut").alias("cut"), F.avg(c.cast("int")).alias("cut_share"), F.count_if("at_limit").alias("cut_at_limit"), F.count_if(~F.col("at_limit") & F.col("marked")).alias("marked_elsewhere"),
+        F.count_if(c & ~F.col("at_limit") & ~F.col("marked")).alias("cut_elsewhere"), F.array_sort(F.collect_set("at")).alias("limits"),
     )
 
 
