@@ -36,20 +36,27 @@ def _array_pairs(items: str) -> str:
     return f"flatten(transform({items}, (x, i) -> transform(slice({items}, i + 2, size({items})), y -> struct(x AS a, y AS b))))"
 
 
-def pairs_of(items: DataFrame, carry: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+def basket_sizes(items: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """basket, *carry, n: the number of items of each basket of (basket, item, *carry)."""
+    return items.groupBy("basket", *carry).agg(F.count("*").alias("n"))
+
+
+def pairs_of(items: DataFrame, carry: Sequence[str] = (), block: int = BLOCK, largest: int | None = None) -> DataFrame:
     """(a, b, *carry) for each pair of items of each basket of (basket, item, *carry), carry being constant in a basket.
 
     No task holds a basket of more than `block` items: a larger one is cut into blocks by item hash, and
-    each pair of blocks is expanded by itself. `items` is read more than once and should be written down.
+    each pair of blocks is expanded by itself. `items` is read more than once and should be written down; `largest` is the
+    size of the largest basket, counted here if it is not given.
     """
-    big = durable(items.groupBy("basket").agg(F.count("*").alias("n")).filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "big-baskets")
-    if big.isEmpty():
-        small = items
-    else:
+    if largest is None:
+        largest = basket_sizes(items).agg(F.max("n")).first()[0] or 0
+    small = items
+    if largest > block:
+        big = durable(basket_sizes(items).filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "big-baskets")
         small = items.join(big, "basket", "left_anti")
     near = small.groupBy("basket", *carry).agg(F.array_sort(F.collect_list("item")).alias("s")).select(*carry, F.explode(F.expr(_array_pairs("s"))).alias("p"))
     near = near.select("p.a", "p.b", *carry)
-    if big.isEmpty():
+    if largest <= block:
         return near
     chunks = (
         items.join(big, "basket")
@@ -139,8 +146,7 @@ class PairCounts:
 
     def _deltas(self, new: DataFrame, old: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
         if old is None:
-            signed = durable(new.withColumn("sign", F.lit(1)), "signed")
-            pairs = pairs_of(signed, ["sign"])
+            signed = new.withColumn("sign", F.lit(1))
         else:
             sides = new.withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1)))
             # order-free fingerprint of each side's item set: two independent 64-bit sums and the size
@@ -150,18 +156,18 @@ class PairCounts:
                 return F.struct(F.coalesce(F.sum(mine), F.lit(0)).alias("h"), F.coalesce(F.sum(salted), F.lit(0)).alias("g"), F.count(F.when(F.col("sign") == s, 1)).alias("k"))
 
             changed = sides.groupBy("basket").agg(mark(1).alias("x"), mark(-1).alias("y")).filter("x <> y").select("basket")
-            signed = durable(sides.join(changed, "basket", "left_semi"), "signed")
-            pairs = pairs_of(signed.withColumn("basket", F.struct("sign", "basket")), ["sign"])
-        baskets = signed.select("basket", "sign").distinct().agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("long")).first()[0]
+            signed = durable(sides.join(changed, "basket", "left_semi").withColumn("basket", F.struct("sign", "basket")), "signed")
+        sizes = basket_sizes(signed, ["sign"]).agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("long").alias("baskets"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")).first()
+        pairs = pairs_of(signed, ["sign"], largest=sizes.largest)
         n = F.sum("sign").cast("long").alias("n")
-        return pairs.groupBy("a", "b").agg(n).filter("n <> 0"), signed.groupBy("item").agg(n).filter("n <> 0"), baskets
+        return pairs.groupBy("a", "b").agg(n).filter("n <> 0"), signed.groupBy("item").agg(n).filter("n <> 0"), sizes.baskets
 
     def update(self, new: DataFrame, old: DataFrame | None = None) -> int:
         """Apply a change; returns the new version.
 
         new and old hold (basket, item), distinct, for the baskets that the change names: their item sets
         after and before it. A basket in one of the two only appears or vanishes; one whose set is the same
-        in both adds nothing, not even intermediate rows.
+        in both adds nothing, not even intermediate rows. Both are read more than once and should be written down.
         """
         self._open()
         version = self._state["version"] + 1

@@ -93,7 +93,7 @@ def p3_moved(spark: SparkSession, d: str) -> DataFrame:
     """Categories that the same employers hire for: the pairs whose counts the last delivery moved, by a signed update of a table opened again."""
     p = table(spark, d, "posting_snapshots").filter("company_name is not null")
     last = p.agg(F.max("snapshot_no").alias("m")).first().m or 0
-    before, now = (cooccurrence.basket_items(p.filter(F.col("snapshot_no") == k), ["company_name"], F.lower(F.trim("category"))) for k in (last - 1, last))
+    before, now = (durable(cooccurrence.basket_items(p.filter(F.col("snapshot_no") == k), ["company_name"], F.lower(F.trim("category"))), "basket-items") for k in (last - 1, last))
     path = new_path(spark, "pair-counts")
     cooccurrence.PairCounts(spark, path).update(before)
     counts = cooccurrence.PairCounts(spark, path)
