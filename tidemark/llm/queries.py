@@ -80,25 +80,25 @@ def p3_lift(spark: SparkSession, d: str) -> DataFrame:
     "p3_moved",
     """
 WITH l AS (SELECT max(snapshot_no) AS m FROM posting_snapshots),
-i AS (SELECT DISTINCT snapshot_no - m AS k, company_name AS e, lower(trim(category)) AS t FROM posting_snapshots, l WHERE snapshot_no >= m - 1 AND company_name IS NOT NULL AND trim(coalesce(category, '')) <> ''),
+i AS (SELECT DISTINCT snapshot_no - m AS k, company_name AS e, lower(trim(location_state)) AS t FROM posting_snapshots, l WHERE snapshot_no >= m - 1 AND company_name IS NOT NULL AND trim(coalesce(location_state, '')) <> ''),
 c AS (SELECT k, t, count(*) AS n FROM i GROUP BY 1, 2),
 p AS (SELECT a.k, a.t AS a, b.t AS b, count(*) AS n_ab FROM i a JOIN i b ON a.k = b.k AND a.e = b.e AND a.t < b.t GROUP BY 1, 2, 3),
 moved AS (SELECT t FROM c GROUP BY t HAVING coalesce(max(n) FILTER (k = 0), 0) <> coalesce(max(n) FILTER (k = -1), 0))
-SELECT p.a AS category_a, p.b AS category_b, p.n_ab, x.n AS n_a, y.n AS n_b FROM p
+SELECT p.a AS state_a, p.b AS state_b, p.n_ab, x.n AS n_a, y.n AS n_b FROM p
 JOIN c x ON x.k = 0 AND x.t = p.a JOIN c y ON y.k = 0 AND y.t = p.b LEFT JOIN p o ON o.k = -1 AND o.a = p.a AND o.b = p.b
 WHERE p.k = 0 AND (p.a IN (SELECT t FROM moved) OR p.b IN (SELECT t FROM moved) OR p.n_ab <> coalesce(o.n_ab, 0))
 """,
 )
 def p3_moved(spark: SparkSession, d: str) -> DataFrame:
-    """Categories that the same employers hire for: the pairs whose counts the last delivery moved, by a signed update of a table opened again."""
+    """States that the same employers hire in: the pairs whose counts the last delivery moved, by a signed update of a table opened again."""
     p = table(spark, d, "posting_snapshots").filter("company_name is not null")
     last = p.agg(F.max("snapshot_no").alias("m")).first().m or 0
-    before, now = (durable(cooccurrence.basket_items(p.filter(F.col("snapshot_no") == k), ["company_name"], F.lower(F.trim("category"))), "basket-items") for k in (last - 1, last))
+    before, now = (durable(cooccurrence.basket_items(p.filter(F.col("snapshot_no") == k), ["company_name"], F.lower(F.trim("location_state"))), "basket-items") for k in (last - 1, last))
     path = new_path(spark, "pair-counts")
     cooccurrence.PairCounts(spark, path).update(before)
     counts = cooccurrence.PairCounts(spark, path)
     s = counts.scores(touched_by=counts.update(now, before))
-    return s.select(F.col("a").alias("category_a"), F.col("b").alias("category_b"), "n_ab", "n_a", "n_b")
+    return s.select(F.col("a").alias("state_a"), F.col("b").alias("state_b"), "n_ab", "n_a", "n_b")
 
 
 # --- 8: evaluation texts in the corpus
