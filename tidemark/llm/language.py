@@ -135,9 +135,9 @@ class Ranker:
     def __init__(self, known: dict[str, list[int]], profile_size: int):
         self.langs, self.k = sorted(known), profile_size
         self.vocabulary = np.unique(np.concatenate([np.array(known[x], np.int64) for x in self.langs] or [np.empty(0, np.int64)]))
-        self.ranks = np.full((len(self.vocabulary), len(self.langs)), -1, np.int32)
+        self.ranks = np.full((len(self.langs), len(self.vocabulary)), -1, np.int32)
         for j, lang in enumerate(self.langs):
-            self.ranks[np.searchsorted(self.vocabulary, known[lang]), j] = np.arange(len(known[lang]))
+            self.ranks[j, np.searchsorted(self.vocabulary, known[lang])] = np.arange(len(known[lang]))
         self.place = []  # for each n, from code to place in the vocabulary
         for n in range(1, LONGEST + 1):
             t = np.full(1 << 6 * n, -1, np.int16)
@@ -149,14 +149,20 @@ class Ranker:
         """(text, place in the vocabulary) of each n-gram that a profile has, and (text, code) of all others."""
         c = letters(texts)
         owner = np.cumsum(c == 64)
+        wide = c.astype(np.uint32)
         known, other = [], []
-        for n in range(1, LONGEST + 1):
-            code, at = gram_codes(c, n)
-            place = self.place[n - 1][code - np.uint32(n << 6 * n)]
+        code, whole = np.zeros(len(c), np.uint32), np.ones(len(c), bool)
+        for n in range(1, min(LONGEST, len(c)) + 1):  # each n-gram is the one before it and a letter
+            m = len(c) - n + 1
+            code = code[:m] << np.uint32(6) | wide[n - 1 :]
+            whole = whole[:m] & (c[n - 1 :] != 64)
+            at = np.nonzero(whole & (c != 0) if n == 1 else whole)[0]
+            mine = code[at]
+            place = self.place[n - 1].take(mine)
             hit = place >= 0
             known.append((owner[at[hit]], place[hit]))
             at = at[~hit]
-            other.append((owner[at], code[~hit]))
+            other.append((owner[at], mine[~hit] | np.uint32(n << 6 * n)))
         return [np.concatenate(x) for x in zip(*known)], [np.concatenate(x) for x in zip(*other)]
 
     def counts(self, owner: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
@@ -166,25 +172,45 @@ class Ranker:
 
     def nearest(self, counts: np.ndarray, row_o: np.ndarray, n_o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each row's nearest language (ties by code) and its confidence; (-1, 0) for rows without known n-grams.
-        row_o, n_o: row and count of each n-gram that no profile has."""
+        row_o, n_o: row and count, 2 or more, of each n-gram that no profile has and that is repeated."""
         best, lead = np.full(len(counts), -1), np.zeros(len(counts))
-        row, col = np.nonzero(counts)
-        if not len(row):
+        flat, g = counts.ravel(), np.int64(counts.shape[1])
+        at = np.flatnonzero(flat != 0)
+        if not len(at):
             return best, lead
+        row = at // g  # rising, before the sort and after it
+        edges = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]]))
+        start, size = edges[:-1], np.diff(edges)
+        rows = row[start]
         # one number holds row, falling count and place: 20, 28 and 16 bits
-        most = np.uint64((1 << 28) - 1)
-        falling = lambda r, n: r.astype(np.uint64) << np.uint64(28) | (most - np.minimum(n.astype(np.uint64), most))
-        k = np.sort(falling(row, counts[row, col]) << np.uint64(16) | col.astype(np.uint64))
-        row, col = (k >> np.uint64(44)).astype(np.int64), (k & np.uint64(0xFFFF)).astype(np.int64)
-        rows, start, size = np.unique(row, return_index=True, return_counts=True)
+        most = np.int64((1 << 28) - 1)
+        falling = lambda r, n: r << 28 | (most - np.minimum(n, most))
+        k = falling(row, flat[at]).astype(np.uint64) << np.uint64(16)
+        k |= (at - row * g).astype(np.uint64)
+        k.sort()
+        col = (k & np.uint64(0xFFFF)).astype(np.int64)
         mine = np.arange(len(row)) - np.repeat(start, size)
-        if len(row_o):  # others of a greater count come before
+        if len(row_o):  # others of a greater count come before; all of a row do where the count is 1
             o = np.sort(falling(row_o, n_o))
-            mine += np.searchsorted(o, k >> np.uint64(16), "left") - np.searchsorted(o, row.astype(np.uint64) << np.uint64(28), "left")
+            ends = np.searchsorted(o, np.stack([rows << 28, (rows + 1) << 28]), "left")
+            mine += np.repeat(ends[1] - ends[0], size)
+            k >>= np.uint64(16)
+            more = np.flatnonzero((k & np.uint64(most)) != np.uint64(most - 1))
+            mine[more] += np.searchsorted(o, k[more].astype(np.int64), "left") - np.repeat(ends[1], size)[more]
+        # a language at a time, over the first k of each row; a row may have none of a profile among them
         top = mine < self.k
-        theirs = self.ranks[col]
-        d = np.where(theirs < 0, self.k, np.abs(theirs - mine[:, None])) * top[:, None]
-        d = np.add.reduceat(d, start, axis=0)
+        if not top.all():
+            keep = np.add.reduceat(top.astype(np.int64), start)
+            rows, col, mine = rows[keep > 0], col[top], mine[top]
+            keep = keep[keep > 0]
+            start = np.cumsum(keep) - keep
+            if not len(rows):
+                return best, lead
+        mine = mine.astype(np.int32)
+        d = np.empty((len(rows), len(self.langs)), np.int64)
+        for j in range(len(self.langs)):
+            theirs = self.ranks[j].take(col)
+            d[:, j] = np.add.reduceat(np.where(theirs < 0, np.int32(self.k), np.abs(theirs - mine)), start, dtype=np.int64)
         best[rows] = d.argmin(1)
         two = np.partition(d, min(1, d.shape[1] - 1), axis=1)
         lead[rows] = 1.0 if d.shape[1] == 1 else np.where(two[:, 1] > 0, (two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1), 0.0)
