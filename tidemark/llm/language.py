@@ -76,20 +76,30 @@ def letters(texts: list[str]) -> np.ndarray:
     return c[keep]
 
 
-def gram_codes(c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (n and n places of 6 bits) of all n-grams within one text but the lone blank, and where each begins."""
-    m = len(c) - n + 1
-    if m <= 0:
-        return np.empty(0, np.uint32), np.empty(0, np.int64)
-    code, whole = np.full(m, n, np.uint32), np.ones(m, bool)
-    for i in range(n):
-        part = c[i : i + m]
-        code = (code << np.uint32(6)) | part
-        whole &= part != 64
-    if n == 1:
-        whole &= c != 0
-    at = np.nonzero(whole)[0]
-    return code[at], at
+def gram_codes(c: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For n from 1: n, the codes (n places of 6 bits) of all n-grams within one text but the lone blank, and where each begins."""
+    wide = c.astype(np.uint32)
+    code, whole = np.zeros(len(c), np.uint32), np.ones(len(c), bool)
+    for n in range(1, min(LONGEST, len(c)) + 1):  # each n-gram is the one before it and a letter
+        m = len(c) - n + 1
+        code = code[:m] << np.uint32(6) | wide[n - 1 :]
+        whole = whole[:m] & (c[n - 1 :] != 64)
+        at = np.flatnonzero(whole & (c != 0) if n == 1 else whole)
+        yield n, code[at], at
+
+
+def gram_counts(c: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct n-grams, as n and their code, and how often each occurs; an entry for each n."""
+    grams, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+    for n, code, _ in gram_codes(c):
+        if n < 4:
+            all_ = np.bincount(code, minlength=1)
+            found = np.flatnonzero(all_)
+            grams.append(found.astype(np.uint32) + np.uint32(n << 6 * n)), counts.append(all_[found])
+        else:
+            found, k = np.unique(code, return_counts=True)
+            grams.append(found + np.uint32(n << 6 * n)), counts.append(k)
+    return grams, counts
 
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +120,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for code, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by.setdefault(code, []).append(text)
             for code, texts in by.items():
-                c = letters(texts)
-                new = [np.unique(gram_codes(c, n)[0], return_counts=True) for n in range(1, LONGEST + 1)]
-                held[code] = _summed(*zip(*new, *([held[code]] if code in held else [])))
+                grams, n = gram_counts(letters(texts))
+                if code in held:
+                    grams.append(held[code][0]), n.append(held[code][1])
+                held[code] = _summed(grams, n)
     for code, (grams, n) in held.items():
         yield pa.RecordBatch.from_arrays([pa.array([code] * len(grams), pa.string()), pa.array(grams.astype(np.int32)), pa.array(n.astype(np.int64))], names=["code", "gram", "n"])
 
@@ -135,7 +146,7 @@ class Ranker:
     def __init__(self, known: dict[str, list[int]], profile_size: int):
         self.langs, self.k = sorted(known), profile_size
         self.vocabulary = np.unique(np.concatenate([np.array(known[x], np.int64) for x in self.langs] or [np.empty(0, np.int64)]))
-        self.ranks = np.full((len(self.langs), len(self.vocabulary)), -1, np.int32)
+        self.ranks = np.full((len(self.langs), len(self.vocabulary)), -1, np.int16 if profile_size < 1 << 15 else np.int32)
         for j, lang in enumerate(self.langs):
             self.ranks[j, np.searchsorted(self.vocabulary, known[lang])] = np.arange(len(known[lang]))
         self.place = []  # for each n, from code to place in the vocabulary
@@ -149,20 +160,13 @@ class Ranker:
         """(text, place in the vocabulary) of each n-gram that a profile has, and (text, code) of all others."""
         c = letters(texts)
         owner = np.cumsum(c == 64)
-        wide = c.astype(np.uint32)
         known, other = [], []
-        code, whole = np.zeros(len(c), np.uint32), np.ones(len(c), bool)
-        for n in range(1, min(LONGEST, len(c)) + 1):  # each n-gram is the one before it and a letter
-            m = len(c) - n + 1
-            code = code[:m] << np.uint32(6) | wide[n - 1 :]
-            whole = whole[:m] & (c[n - 1 :] != 64)
-            at = np.nonzero(whole & (c != 0) if n == 1 else whole)[0]
-            mine = code[at]
-            place = self.place[n - 1].take(mine)
+        for n, code, at in gram_codes(c):
+            place = self.place[n - 1].take(code)
             hit = place >= 0
             known.append((owner[at[hit]], place[hit]))
             at = at[~hit]
-            other.append((owner[at], mine[~hit] | np.uint32(n << 6 * n)))
+            other.append((owner[at], code[~hit] | np.uint32(n << 6 * n)))
         return [np.concatenate(x) for x in zip(*known)], [np.concatenate(x) for x in zip(*other)]
 
     def counts(self, owner: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
@@ -206,11 +210,12 @@ class Ranker:
             start = np.cumsum(keep) - keep
             if not len(rows):
                 return best, lead
-        mine = mine.astype(np.int32)
+        kind = self.ranks.dtype.type
+        mine = mine.astype(kind)
         d = np.empty((len(rows), len(self.langs)), np.int64)
         for j in range(len(self.langs)):
             theirs = self.ranks[j].take(col)
-            d[:, j] = np.add.reduceat(np.where(theirs < 0, np.int32(self.k), np.abs(theirs - mine)), start, dtype=np.int64)
+            d[:, j] = np.add.reduceat(np.where(theirs < 0, kind(self.k), np.abs(theirs - mine)), start, dtype=np.int64)
         best[rows] = d.argmin(1)
         two = np.partition(d, min(1, d.shape[1] - 1), axis=1)
         lead[rows] = 1.0 if d.shape[1] == 1 else np.where(two[:, 1] > 0, (two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1), 0.0)
