@@ -83,8 +83,23 @@ def test_only_touched_buckets_are_written(spark):
 
 def test_large_baskets_in_blocks(spark):
     baskets = {"big": {f"i{k:03d}" for k in range(40)}, "small": {"i001", "i002"}, "one": {"z"}}
-    got = Counter((r.a, r.b) for r in co.pairs_of(items(spark, baskets), block=7).collect())
-    assert got == brute(baskets)[0]
+    signed = items(spark, baskets).withColumn("sign", F.lit(1))
+    want = dict(brute(baskets)[0])
+    assert {(r.a, r.b): r.n for r in co.pair_deltas(signed, block=7).collect()} == {(r.a, r.b): r.n for r in co.pair_deltas(signed).collect()} == want
+
+
+def test_baskets_across_batches(spark):
+    """Baskets that Arrow's batches cut in two are expanded whole; signs that cancel leave nothing."""
+    baskets = {str(k): {f"i{(k * j) % 23:02d}" for j in range(1, 9)} for k in range(60)}
+    signed = items(spark, baskets).withColumn("sign", F.lit(1))
+    both = signed.unionByName(signed.withColumn("basket", F.struct(F.concat("basket.b", F.lit("-")).alias("b"))).withColumn("sign", F.lit(-1)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert {(r.a, r.b): r.n for r in co.pair_deltas(signed).collect()} == dict(brute(baskets)[0])
+        assert co.pair_deltas(both).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_blank_and_empty(spark):

@@ -12,8 +12,10 @@ last update is kept beside the counts, for the scores that it moved. One writer
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,21 +33,53 @@ def basket_items(df: DataFrame, basket: Sequence[str], item) -> DataFrame:
     return rows.distinct()
 
 
-def _array_pairs(items: str) -> str:
-    """SQL for the array of (a, b), a < b, of a sorted array of distinct items."""
-    return f"flatten(transform({items}, (x, i) -> transform(slice({items}, i + 2, size({items})), y -> struct(x AS a, y AS b))))"
-
-
-def basket_sizes(items: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """basket, *carry, n: the number of items of each basket of (basket, item, *carry)."""
-    return items.groupBy("basket", *carry).agg(F.count("*").alias("n"))
-
-
-def pairs_of(items: DataFrame, carry: Sequence[str] = (), block: int = BLOCK, largest: int | None = None) -> DataFrame:
-    """(a, b, *carry) for each pair of items of each basket of (basket, item, *carry), carry being constant in a basket.
-
-    No task holds a basket of more than `block` items: a larger one is cut into blocks by item hash, and
-    each pair of blocks is expanded by itself. `items` is read more than once and should be written down; `largest` is the
+def basket_sizes(items: DataFrame) -> DataFrame:
+    """basket, sign, n: the number of items of each basket of (basket, item, sign)."""
+    return items.groupBy("basket", "sign").agg(F.count("*").alias("n"))
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, g, sign, item), rows of a basket (h, g) side by side with items rising, to summed (a, b, n) of the pairs of each batch."""
+
+    def pairs(h: np.ndarray, g: np.ndarray, sign: np.ndarray, item: pa.Array) -> pa.RecordBatch:
+        words = item.dictionary_encode()
+        code, names = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+        edges = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]), [True]])) if len(h) else np.zeros(1, np.int64)
+        size = np.diff(edges)
+        keys, signs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for n in np.unique(size[size > 1]):
+            p, q = np.triu_indices(n, 1)
+            starts = edges[:-1][size == n]
+            step = max(1, 2_000_000 // len(p))  # pairs looked at together
+            for lo in range(0, len(starts), step):
+                at = starts[lo : lo + step, None]
+                keys.append((code[at + p] * len(names) + code[at + q]).ravel())
+                signs.append(np.repeat(sign[at[:, 0]], len(p)))
+        k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate(signs), minlength=len(k)).astype(np.int64)
+        k, n = k[n != 0], n[n != 0]
+        return pa.RecordBatch.from_arrays([names.take(pa.array(k // max(1, len(names)))), names.take(pa.array(k % max(1, len(names)))), pa.array(n)], names=["a", "b", "n"])
+
+    tail: pa.RecordBatch | None = None
+    for batch in batches:
+        if tail is not None and tail.num_rows:
+            batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+        h, g = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        new = np.flatnonzero((h[1:] != h[:-1]) | (g[1:] != g[:-1]))
+        cut = int(new[-1]) + 1 if len(new) else 0  # the last basket may go on
+        yield pairs(h[:cut], g[:cut], batch.column(2).to_numpy(zero_copy_only=False)[:cut], batch.column(3).slice(0, cut))
+        tail = batch.slice(cut)
+    if tail is not None and tail.num_rows:
+        yield pairs(*(tail.column(c).to_numpy(zero_copy_only=False) for c in range(3)), tail.column(3))
+
+
+def pair_deltas(items: DataFrame, block: int = BLOCK, largest: int | None = None) -> DataFrame:
+    """(a, b, n): for each pair of items the sum of the signs of the baskets of (basket, item, sign) that have both, where it is
+    not 0; the sign is constant in a basket.
+
+    Baskets are told apart by two 64-bit hashes, sorted by them and expanded by numpy, batch by batch, which sums before
+    the shuffle. No task expands a basket of more than `block` items: a larger one is cut into blocks by item hash, and each
+    pair of blocks is expanded by itself. `items` is read more than once and should be written down; `largest` is the
     size of the largest basket, counted here if it is not given.
     """
     if largest is None:
@@ -53,22 +87,22 @@ def pairs_of(items: DataFrame, carry: Sequence[str] = (), block: int = BLOCK, la
     small = items
     if largest > block:
         big = durable(basket_sizes(items).filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "big-baskets")
-        small = items.join(big, "basket", "left_anti")
-    near = small.groupBy("basket", *carry).agg(F.array_sort(F.collect_list("item")).alias("s")).select(*carry, F.explode(F.expr(_array_pairs("s"))).alias("p"))
-    near = near.select("p.a", "p.b", *carry)
-    if largest <= block:
-        return near
-    chunks = (
-        items.join(big, "basket")
-        .withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-        .groupBy("basket", "chunk", *carry)
-        .agg(F.array_sort(F.collect_list("item")).alias("s"))
-    )
-    within = chunks.select(*carry, F.explode(F.expr(_array_pairs("s"))).alias("p"))
-    other = chunks.select(F.col("basket").alias("b2"), F.col("chunk").alias("c2"), F.col("s").alias("s2"))
-    both = chunks.join(other, F.col("basket").eqNullSafe(F.col("b2")) & (F.col("chunk") < F.col("c2")))
-    across = both.select(*carry, F.explode(F.expr("flatten(transform(s, x -> transform(s2, y -> struct(least(x, y) AS a, greatest(x, y) AS b))))")).alias("p"))
-    return near.unionByName(within.unionByName(across).select("p.a", "p.b", *carry))
+        small = items.join(big.select("basket"), "basket", "left_anti")
+    rows = small.select(F.xxhash64("basket").alias("h"), F.xxhash64(F.lit(7), "basket").alias("g"), F.col("sign").cast("int").alias("sign"), "item")
+    deltas = rows.repartition("h").sortWithinPartitions("h", "g", "item").mapInArrow(_expand, "a string, b string, n long")
+    if largest > block:
+        chunks = (
+            items.join(big.select("basket", "blocks"), "basket")
+            .withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+            .groupBy("basket", "chunk", "sign")
+            .agg(F.sort_array(F.collect_list("item")).alias("s"))
+        )
+        within = chunks.select("sign", F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x AS a, y AS b))))")).alias("p"))
+        other = chunks.select(F.col("basket").alias("b2"), F.col("chunk").alias("c2"), F.col("s").alias("s2"))
+        both = chunks.join(other, F.col("basket").eqNullSafe(F.col("b2")) & (F.col("chunk") < F.col("c2")))
+        across = both.select("sign", F.explode(F.expr("flatten(transform(s, x -> transform(s2, y -> struct(least(x, y) AS a, greatest(x, y) AS b))))")).alias("p"))
+        deltas = deltas.unionByName(within.unionByName(across).select("p.a", "p.b", F.col("sign").cast("long").alias("n")))
+    return deltas.groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
 class PairCounts:
@@ -157,10 +191,9 @@ class PairCounts:
 
             changed = sides.groupBy("basket").agg(mark(1).alias("x"), mark(-1).alias("y")).filter("x <> y").select("basket")
             signed = durable(sides.join(changed, "basket", "left_semi").withColumn("basket", F.struct("sign", "basket")), "signed")
-        sizes = basket_sizes(signed, ["sign"]).agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("long").alias("baskets"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")).first()
-        pairs = pairs_of(signed, ["sign"], largest=sizes.largest)
+        sizes = basket_sizes(signed).agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("long").alias("baskets"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")).first()
         n = F.sum("sign").cast("long").alias("n")
-        return pairs.groupBy("a", "b").agg(n).filter("n <> 0"), signed.groupBy("item").agg(n).filter("n <> 0"), sizes.baskets
+        return pair_deltas(signed, largest=sizes.largest), signed.groupBy("item").agg(n).filter("n <> 0"), sizes.baskets
 
     def update(self, new: DataFrame, old: DataFrame | None = None) -> int:
         """Apply a change; returns the new version.
