@@ -123,10 +123,10 @@ def departments(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CANON = f"regexp_replace(regexp_replace(lower(coalesce(company_name, '')), '{T.BOARD_LEGAL}', '', 'g'), '[^a-z0-9]', '', 'g')"
-DENIED = ["Jobot", "Dice Inc.", "Turing Corporation"]
+DENIED = ["Orrin Hires", "Vandor Jobs Inc.", "Talvi Corporation"]
 
 
-@query("board_names", f"SELECT DISTINCT company_name, {_CANON} AS canon, {_CANON} IN ('jobot', 'dice', 'turing') OR coalesce(regexp_matches(company_name, '{T.AGENCY}'), false) AS denied FROM raw_postings")
+@query("board_names", f"SELECT DISTINCT company_name, {_CANON} AS canon, {_CANON} IN ('orrinhires', 'vandorjobs', 'talvi') OR coalesce(regexp_matches(company_name, '{T.AGENCY}'), false) AS denied FROM raw_postings")
 def board_names(spark: SparkSession, d: str) -> DataFrame:
     """Comparable form of a name, and whether a list (compared in that form) or a word of agencies turns it down."""
     names = table(spark, d, "raw_postings").select("company_name").distinct().withColumn("canon", T.board_canon(F.col("company_name")))
