@@ -95,6 +95,24 @@ def test_entities(spark):
     assert en.match_entities(l.limit(0), w, wage, r, none, wage, lab).count() == 0
 
 
+def test_only_lines_of_business_are_broadcast(spark, monkeypatch):
+    """What grows with the names is joined by merging, however small it looks: a brand makes 24 rows that no estimate counts."""
+    plans, write = {}, en.durable
+
+    def seen(df, label):
+        df.collect()
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0])
+        return write(df, label)
+
+    monkeypatch.setattr(en, "durable", seen)
+    names = spark.createDataFrame([(f"Bo{a}ra Ke{b}mi {l}",) * 2 for a in "klmnp" for b in "rstv" for l in ("Foods", "Energy")], "id string, name string")
+    words, wage = names.selectExpr("id", "'cook' AS word"), names.selectExpr("id", "100.0D AS wage")
+    assert en.match_entities(names, words, wage, names, words, wage, names.selectExpr("id AS left_id", "id AS right_id")).count() >= 40
+    broadcasts = {label: max(p.count("BroadcastExchange") for p in x) for label, x in plans.items()}
+    assert {label for label, n in broadcasts.items() if n} <= {"left", "right"} and max(broadcasts.values()) <= 2  # a row a line
+    assert "SortMergeJoin" in plans["pairs"][0]
+
+
 def test_model_is_calibrated_on_held_out_pairs(spark):
     import numpy as np
 
