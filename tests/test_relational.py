@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import quality as Q
 from tidemark.operators import relational as R
 from tidemark.operators import retention
+from tidemark.operators.peers import nearest_peers
+from tidemark.plans import load_queries
 
 
 def rows(df):
@@ -75,6 +77,39 @@ def test_hot_items_are_cut_into_blocks(spark):
     assert got[0] == got[1] == got[2] and len(got[0]) > 40
 
 
+def test_nearest_peers_equal_pairs_by_item(spark):
+    """The same rows with many ties at the k-th place, whatever the block, also for numbers and unknown values."""
+    df = spark.createDataFrame([(f"e{e % 97}", (e * i) % 31) for e in range(194) for i in range(14)] + [("one", 1), (None, 1), ("e1", None)], "e string, i int")
+    numbers = df.select(F.substring("e", 2, 3).try_cast("int").alias("e"), F.concat(F.lit("i"), "i").alias("i"))
+    for sets in (df, numbers, df.limit(0)):
+        for k, least in ((3, 0.35), (6, 0.2)):
+            want = rows(R.jaccard_peers(sets, entity="e", item="i", least_shared=2, least=least, k=k))
+            for block in (1000, 10):
+                out = nearest_peers(sets, entity="e", item="i", least_shared=2, least=least, k=k, block=block)
+                assert out.columns == ["e", "peer", "shared", "similarity", "peer_rank"] and rows(out) == want
+    assert rows(nearest_peers(df, entity="e", item="i", least_shared=2, least=0.3, k=4, block=1)) == rows(R.jaccard_peers(df, entity="e", item="i", least_shared=2, least=0.3, k=4))
+
+
+def test_company_peers_shuffles_no_pairs(spark, tmp_path):
+    """250 companies of 20 technologies make 31,125 pairs; no stage writes as many rows."""
+    e, n = F.floor(F.col("id") / 20), F.col("id") % 20
+    df = spark.range(250 * 20).select(F.lit("s").alias("source"), F.concat_ws("-", e, n).alias("job_id"), F.concat(F.lit("c"), e).alias("company_name"), F.concat(F.lit("t"), (n + e % 3).cast("string")).alias("tech_slug"))
+    df.drop("tech_slug").write.parquet(f"{tmp_path}/raw_postings.parquet")
+    df.drop("company_name").write.parquet(f"{tmp_path}/posting_technologies.parquet")
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._jvm.java.util.ArrayList()
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return {x.stageId(): x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.length()))}
+
+    before = stages()
+    got = load_queries()["company_peers"](spark, str(tmp_path)).collect()
+    assert len(got) == 250 * 6 and {r.similarity for r in got} == {1.0}
+    assert 0 < max(n for k, n in stages().items() if k not in before) < 20_000
+
+
 def test_merge_rules(spark):
     e = spark.createDataFrame([(1, "a", None), (2, "b", "gone"), (3, None, None)], "k int, v string, d string")
     i = spark.createDataFrame([(1, "x", None), (2, "y", None), (4, "z", None)], "k int, v string, d string")

@@ -11,6 +11,7 @@ from tidemark.functions import columns as C
 from tidemark.functions import text as X
 from tidemark.operators import quality as Q
 from tidemark.operators import relational as R
+from tidemark.operators.peers import nearest_peers
 from tidemark.plans.postings import search
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
@@ -262,7 +263,7 @@ def company_peers(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "raw_postings").select("source", "job_id", C.blank_to_null(F.col("company_name")).alias("company")).filter("company is not null")
     many = p.groupBy("company").agg(F.count("*").alias("n")).filter("n >= 15").select("company")
     s = p.distinct().join(techs(spark, d), ["source", "job_id"]).select("company", "tech").distinct().join(many, "company", "left_semi")
-    return R.jaccard_peers(s, entity="company", item="tech", least_shared=15, least=0.35, k=6)
+    return nearest_peers(s, entity="company", item="tech", least_shared=15, least=0.35, k=6)
 
 
 @query("salary_leaders", f"SELECT tech, count(*) AS postings, round(avg(salary_max), 0) AS mean_salary, CAST(rank() OVER (ORDER BY round(avg(salary_max), 0) DESC) AS INT) AS place FROM {_ONE} p JOIN {_TECH} t ON t.source = p.source AND t.job_id = p.job_id WHERE salary_max BETWEEN 20000 AND 1000000 AND NOT coalesce(salary_is_predicted, false) GROUP BY 1 HAVING count(*) >= 10")
